@@ -20,6 +20,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -211,8 +212,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5, mod
 
 
 def score_column(model: Discriminant | float):
-    import pandas as pd
-
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
         if not isinstance(model, Discriminant):

@@ -86,7 +86,7 @@ ORACLE_SQL: dict[str, str] = {
     "op2_embedding_near_dedup": f"""
 with recursive v as (
   select vec_id, label, embedding::double[] as x from embeddings
-  where label is not null and embedding is not null and len(list_filter(embedding, e -> e is null or not isfinite(e))) = 0 and len(list_filter(embedding, e -> e <> 0)) > 0
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda e: e is null or not isfinite(e))) = 0 and len(list_filter(embedding, lambda e: e <> 0)) > 0
 ), links as (
   select p.vec_id as a, q.vec_id as b from v p join v q on p.label = q.label and p.vec_id <> q.vec_id and len(p.x) = len(q.x) where list_cosine_similarity(p.x, q.x) >= 0.93
 ){_REACH}
@@ -98,7 +98,7 @@ from embeddings e left join n on n.a = e.vec_id left join least l on l.a = e.vec
 with recursive w as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as ws from documents
 ), s as (
-  select distinct doc_id, unnest(list_transform(range(1, greatest(2, len(ws) - 3)), i -> array_to_string(ws[i:i + 4], ' '))) as sh from w where len(ws) > 0
+  select distinct doc_id, unnest(list_transform(range(1, greatest(2, len(ws) - 3)), lambda i: array_to_string(ws[i:i + 4], ' '))) as sh from w where len(ws) > 0
 ), n as (select doc_id, count(*) as k from s group by doc_id)
 , common as (select p.doc_id as a, q.doc_id as b, count(*) as c from s p join s q on p.sh = q.sh and p.doc_id <> q.doc_id group by 1, 2)
 , links as (select a, b from common join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 85 * (x.k + y.k - c)){_REACH}
@@ -109,7 +109,7 @@ from documents d left join n on n.doc_id = d.doc_id left join least l on l.a = d
 with p as (select page_id, coalesce(html, '') as h from pages), q as (select page_id, strlen(h)::bigint as payload_bytes, sha1(h) as s, h from p)
 , r as (select *, max(page_id) over (partition by h) as first_id from q)
 select page_id, payload_bytes,
-  array_to_string(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(s, (5 * (i // 4) + 1)::int, 5))::bigint >> (15 - 5 * (i % 4))::int) & 31)::int, 1)), '') as payload_digest,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(s, (5 * (i // 4) + 1)::int, 5))::bigint >> (15 - 5 * (i % 4))::int) & 31)::int, 1)), '') as payload_digest,
   case when page_id = first_id then 'response' else 'revisit' end as record_type, case when page_id <> first_id then first_id end as refers_to
 from r
 """,

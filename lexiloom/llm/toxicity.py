@@ -22,6 +22,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -318,8 +319,6 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 def keep_civil(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5, **options) -> DataFrame:
     """The documents, all columns, that score below ``threshold``."""
-    import pandas as pd
-
     lexicon = train(docs, labels, **options)
 
     @F.pandas_udf("double")
