@@ -172,12 +172,9 @@ def with_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     shared = shared.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumnsRenamed({"_d": "_sd"})
     rows = rows.withColumn("_s", F.pmod(F.xxhash64("page_id"), F.lit(salts)).cast("int"))
     out = rows.join(shared, (F.col("_d") == F.col("_sd")) & (F.col("_s") == F.col("_salt")) & (F.col("_n") >= least_bytes), "left")
-    # rows that repeat the response's page_id: one of them stays the response
-    same = F.col("_first").isNotNull() & F.col("page_id").eqNullSafe(F.col("_first"))
-    firsts = out.filter(same).withColumn("_again", F.row_number().over(W.partitionBy("_d", "page_id").orderBy("url")) > 1)
-    others = out.filter(~same).withColumn("_again", F.lit(False))
-    out = others.unionByName(firsts)
-    refers = F.when(F.col("_first").isNotNull() & (~F.col("page_id").eqNullSafe(F.col("_first")) | F.col("_again")), F.col("_first"))
+    # of rows that repeat the response's page_id, one stays the response; they share a digest and salt, so no row moves again
+    again = F.row_number().over(W.partitionBy("_d", "_s", "page_id").orderBy("url")) > 1
+    refers = F.when(F.col("_first").isNotNull() & (~F.col("page_id").eqNullSafe(F.col("_first")) | again), F.col("_first"))
     return out.select("page_id", "url", "html", refers.alias("refers_to"))
 
 
