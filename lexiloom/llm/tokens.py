@@ -82,6 +82,12 @@ class WordTokens:
         self.special = [t["content"] for t in spec["added_tokens"] if t["special"]]
         self.special_ids = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.longest = max(map(len, self.vocab))
+        # what may stand as a token: inside a word (1), at its end (2), or both (3)
+        self.kinds = dict.fromkeys((t for t in self.vocab if not t.endswith(self.end)), 1)
+        for t in self.vocab:
+            if t.endswith(self.end):
+                t = t[: -len(self.end)]
+                self.kinds[t] = self.kinds.get(t, 0) | 2
         num = _other_numbers()
         words = f"'s|'t|'re|'ve|'m|'ll|'d|[^\\W\\d_{num}]+|[\\d{num}]|(?:[^\\w{_WS}]++|_)++"
         self.words = re.compile(words)
@@ -148,46 +154,54 @@ class WordTokens:
             states = {}
         elif len(states) > self.LIMIT:
             states.clear()
-        k = len(s)
-        by_length = {0: ("", 0, 0, b"", 0, 0)}
-        while k > 0 and len(s) <= 48:
+        n = k = len(s)
+        path: list = [None] * (n + 1)
+        path[0] = state = ("", 0, 0, b"", 0, 0)
+        while k > 1 and n <= 48:
             k -= 1
-            if (state := states.get(s[:k])) is not None:
+            if (known := states.get(s[:k])) is not None:
+                path[k] = state = known
                 break
         else:
-            k, state = 0, by_length[0]
-        by_length[k] = state
-        vocab, end, longest, fits, lacks = self.vocab, self.end, self.longest, self.fits, self.lacks
-        while k < len(s):
+            k = 0
+        kinds, end, longest, fits, lacks, pairs = self.kinds, self.end, self.longest, self.fits, self.lacks, self.pairs
+        while k < n:
             k += 1
-            last, final, need = "", 0, state[5]
-            for j in range(max(0, k - longest), k):
-                t = s[j:k]
-                inner = not last and t in vocab
-                ended = not final and (t + end) in vocab
-                if inner or ended:
-                    if (before := by_length.get(j)) is None:
-                        before = by_length[j] = states[s[:j]]
-                    if inner and fits(before[0], t):
-                        last, n = t, before[1] + 1
-                    if ended and fits(before[0], t + end):
+            last, inner, final, need = "", 0, 0, state[5]
+            for j in range(k - longest if k > longest else 0, k):
+                kind = kinds.get(s[j:k])
+                if kind is None:
+                    continue
+                if (before := path[j]) is None:
+                    before = path[j] = states[s[:j]]
+                left = before[0]
+                if kind != 2 and not last:
+                    t = s[j:k]
+                    if not left or (pairs[left, t] if (left, t) in pairs else fits(left, t)):
+                        last, inner = t, before[1] + 1
+                if kind != 1 and not final:
+                    t = s[j:k] + end
+                    if not left or (pairs[left, t] if (left, t) in pairs else fits(left, t)):
                         final = before[1] + 1
-                    if last and final:
-                        break
+                if last and final:
+                    break
             need = need - 1 if need else lacks[s[k - 1]]
-            state = (last, n, final, state[3], state[4], need) if need else (last, n, final, state[3] + bytes([(final - state[4]) & 255]), final, 0)
-            by_length[k] = state
-            if len(s) <= 48:
+            state = (last, inner, final, state[3], state[4], need) if need else (last, inner, final, state[3] + bytes([(final - state[4]) & 255]), final, 0)
+            path[k] = state
+            if n <= 48:
                 states[s[:k]] = state
         return state[3]
 
     def chunk_deltas(self, chunk: str) -> bytes:
         """Of a part of a normalised text between two blanks; other white space may stand in it."""
-        out, at = [], 0
-        for m in self.words.finditer(chunk):
-            out += [bytes(m.start() - at), self.split_deltas(m[0])]
-            at = m.end()
-        d = b"".join(out) + bytes(len(chunk) - at)
+        if chunk.isalpha():
+            d = self.word_deltas(chunk)
+        else:
+            out, at = [], 0
+            for m in self.words.finditer(chunk):
+                out += [bytes(m.start() - at), self.split_deltas(m[0])]
+                at = m.end()
+            d = b"".join(out) + bytes(len(chunk) - at)
         if len(chunk) <= 64:
             if len(self.deltas) > self.LIMIT:
                 self.deltas.clear()
