@@ -261,8 +261,8 @@ class WordTokens:
     # -- whole encodings, for packing
 
     def make_ids(self, chunks: list[str]) -> list[bytes]:
-        """Ids of parts of a text between blanks: one call of the library, cut after the tokens that end a word."""
-        ids = np.array(self.library.encode(" ".join(chunks), add_special_tokens=False).ids, "<u4")
+        """Ids of parts of a text between blanks: one call of the library (without offsets), cut after the tokens that end a word."""
+        ids = np.array(self.library.encode_batch_fast([" ".join(chunks)], add_special_tokens=False)[0].ids, "<u4")
         ends = [0, *(np.flatnonzero(self.ends[ids]) * 4 + 4).tolist()]
         raw, at, out, known = ids.tobytes(), 0, [], self.ids
         for c in chunks:
