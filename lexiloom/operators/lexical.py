@@ -39,46 +39,57 @@ def document_frequencies(index: DataFrame) -> DataFrame:
     return index.groupBy("term").agg(F.count("*").alias("doc_frequency"))
 
 
-def corpus_stats(docs: DataFrame, text: str = "text", stem: bool = False) -> DataFrame:
-    """One row: total_docs (all documents, those without words too) and avg_doc_length."""
-    n = F.size(terms_of(F.col(text), False)).cast("long")  # stemming keeps the number of words
-    return docs.agg(F.count("*").alias("total_docs"), F.coalesce(F.sum(n) / F.count("*"), F.lit(0.0)).alias("avg_doc_length"))
+def lengths(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, dl of all documents, those without words too; stemming keeps the number of words."""
+    return docs.select(F.col(doc).alias("doc_id"), F.size(terms_of(F.col(text), False)).cast("long").alias("dl"))
+
+
+def stats_of(lengths: DataFrame) -> DataFrame:
+    """One row: total_docs and avg_doc_length."""
+    return lengths.agg(F.count("*").alias("total_docs"), F.coalesce(F.sum("dl") / F.nullif(F.count("*"), F.lit(0)), F.lit(0.0)).alias("avg_doc_length"))
+
+
+def corpus_stats(docs: DataFrame, text: str = "text") -> DataFrame:
+    return stats_of(docs.select(F.size(terms_of(F.col(text), False)).cast("long").alias("dl")))
 
 
 @dataclass
 class LexicalIndex:
-    """Postings and statistics as DataFrames; kept as Parquet by ``save`` and found again by ``load``."""
+    """Postings and document lengths as DataFrames; kept as Parquet by ``save`` and found again by ``load``. Frequencies
+    and statistics are sums over them, so they cannot drift from what is indexed."""
 
     postings: DataFrame
-    stats: DataFrame
+    lengths: DataFrame
     stem: bool = False
 
+    @property
+    def stats(self) -> DataFrame:
+        return stats_of(self.lengths)
+
     @classmethod
     def build(cls, docs: DataFrame, doc: str = "doc_id", text: str = "text", stem: bool = False) -> LexicalIndex:
-        return cls(postings(docs, doc, text, stem), corpus_stats(docs, text), stem)
+        return cls(postings(docs, doc, text, stem), lengths(docs, doc, text), stem)
 
     def save(self, path: str) -> LexicalIndex:
         """Postings are laid out in term order, so a search reads only the row groups of its terms."""
         self.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
-        self.stats.write.mode("overwrite").parquet(f"{path}/stats")
+        self.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
         return self.load(self.postings.sparkSession, path, self.stem)
 
     @classmethod
     def load(cls, spark, path: str, stem: bool = False) -> LexicalIndex:
-        return cls(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/stats"), stem)
+        return cls(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"), stem)
 
     def remove(self, ids: DataFrame) -> LexicalIndex:
         """Without the documents of ``ids`` (doc_id); ids that are not indexed change nothing."""
         gone = ids.select("doc_id").distinct()
-        lost = self.postings.join(gone, "doc_id", "left_semi").select("doc_id", "dl").distinct().agg(F.count("*").alias("_n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("_l"))
-        return LexicalIndex(self.postings.join(gone, "doc_id", "left_anti"), _moved(self.stats, lost, -1), self.stem)
+        return LexicalIndex(self.postings.join(gone, "doc_id", "left_anti"), self.lengths.join(gone, "doc_id", "left_anti"), self.stem)
 
     def upsert(self, docs: DataFrame, doc: str = "doc_id", text: str = "text") -> LexicalIndex:
         """With new or changed documents; of a repeated id the last text in order counts. Indexing again changes nothing."""
         new = docs.groupBy(F.col(doc).alias("doc_id")).agg(F.max(text).alias("text"))
         base = self.remove(new)
-        more = corpus_stats(new).select(F.col("total_docs").alias("_n"), (F.col("avg_doc_length") * F.col("total_docs")).alias("_l"))
-        return LexicalIndex(base.postings.unionByName(postings(new, stem=self.stem)), _moved(base.stats, more, 1), self.stem)
+        return LexicalIndex(base.postings.unionByName(postings(new, stem=self.stem)), base.lengths.unionByName(lengths(new)), self.stem)
 
     def search(self, questions: DataFrame, k: int = 10, query: str = "query_id", text: str = "text") -> DataFrame:
         """query_id, doc_id, score, rank for (query_id, text) rows: the best ``k`` documents of each question."""
@@ -106,12 +117,6 @@ class LexicalIndex:
         return out.filter("score > 0")
 
 
-def _moved(stats: DataFrame, change: DataFrame, sign: int) -> DataFrame:
-    n = F.col("total_docs") + sign * F.col("_n")
-    words = F.col("total_docs") * F.col("avg_doc_length") + sign * F.col("_l")
-    return stats.crossJoin(F.broadcast(change)).select(n.alias("total_docs"), F.when(n > 0, words / n).otherwise(0.0).alias("avg_doc_length"))
-
-
 def question_terms(questions: DataFrame, by: list[str], text: str, stem: bool) -> DataFrame:
     """by.., term, qtf."""
     rows = questions.select(*by, F.explode(terms_of(F.col(text), stem)).alias("term"))

@@ -169,7 +169,7 @@ _HEAD = "lang || ' > ' || source"
 
 
 def _boost(t: str) -> str:
-    return f"select {t}.query_id, {t}.doc_id, round(case when len(list_filter({sql.general('i.text')}, lambda w: contains(lower({_HEAD}), w))) > 0 then score * 1.3 else score end, 6) as score from {t} join benchmark i on i.item_id = {t}.query_id join documents o on o.doc_id = {t}.doc_id"
+    return f"select {t}.query_id, {t}.doc_id, round(case when len(list_filter({sql.general('i.text')}, lambda w: contains(lower({_HEAD}), w))) > 0 then score * 1.3 else score end, 6) as score from {t} join benchmark i on i.item_id = {t}.query_id left join documents o on o.doc_id = {t}.doc_id"
 
 
 def _headings(spark: SparkSession, d: str) -> DataFrame:
@@ -192,7 +192,7 @@ def graph_boost(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _diverse(t: str) -> str:
-    inner = f"select {t}.query_id, {t}.doc_id, source as page, score from {t} join documents o on o.doc_id = {t}.doc_id qualify row_number() over (partition by query_id, source order by score desc, {t}.doc_id) <= 2"
+    inner = f"select {t}.query_id, {t}.doc_id, source as page, score from {t} left join documents o on o.doc_id = {t}.doc_id qualify row_number() over (partition by query_id, source order by score desc, {t}.doc_id) <= 2"
     return sql.ranked(f"({inner})", 5, extra="page,")
 
 
