@@ -230,4 +230,4 @@ def near_duplicates(
 def keep_first(docs: DataFrame, **options) -> DataFrame:
     """The documents, all columns, that stand for their component."""
     kept = near_duplicates(docs, **options).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
