@@ -44,7 +44,7 @@ def _word_hash(w: str) -> int:
     import xxhash
 
     h = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
-    if len(_words_seen) < 500_000:
+    if len(_words_seen) < 200_000:
         _words_seen[w] = h
     return h
 

@@ -269,7 +269,7 @@ class WordTokens:
             was = at
             at += 1 if c.isalpha() else len(self.words.findall(c))
             out.append(raw[ends[was] : ends[at]])
-            if len(c) <= 64 and len(known) < 2 * self.LIMIT:
+            if len(c) <= 64 and len(known) < self.LIMIT:
                 known[c] = out[-1]
         return out
 

@@ -110,7 +110,7 @@ class Lexicon:
             self._trie = Trie(self.terms)
         new = words - self._seen
         if new:
-            if len(self._seen) > 600_000:
+            if len(self._seen) > 250_000:
                 self._seen.clear()
             for w in self._trie.possible(new):
                 if w not in self._hits and len(w) > 2 and (m := self._trie.match(w)) is not None:
