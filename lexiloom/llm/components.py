@@ -9,6 +9,7 @@ Each round is written to the shared folder, so no round depends on executors of
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,3 +50,40 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     else:
         raise RuntimeError("components did not settle")
     return e.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("component")).union(e.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
+
+
+def cross_blocks(members: DataFrame, block: int) -> DataFrame:
+    """Deals members (g, rep, component) to blocks (g, _i, _j), so that any two of a ``g`` that lie in different
+    components meet in a block. A block holds about ``2 * block`` members at most, whatever the size of ``g``; chunks of
+    one same component do not meet."""
+    sizes = members.groupBy(F.col("g").alias("_g"), F.col("component").alias("_o")).agg(F.count("*").alias("_n"))
+    small = sizes.groupBy(F.col("_g").alias("_sg")).agg(F.sum(F.when(F.col("_n") < block, F.col("_n")).otherwise(0)).alias("_small"))
+    sizes = sizes.join(small, F.col("_g") == F.col("_sg"))
+    own = F.col("_n") >= block
+    dealt = members.join(sizes, (F.col("g") == F.col("_g")) & (F.col("component") == F.col("_o")))
+    slot = F.when(own, F.pmod(F.xxhash64("rep"), F.ceil(F.col("_n") / block))).otherwise(F.pmod(F.xxhash64("component"), F.greatest(F.lit(1), F.ceil(F.col("_small") / block))))
+    pure = F.when(own, F.col("component"))
+    dealt = written(dealt.select("g", "rep", "component", F.xxhash64(own, F.coalesce(pure, F.lit(0)), slot).alias("_c"), pure.alias("_pure")), "cross-dealt")
+    chunks = dealt.select("g", "_c", "_pure").distinct()
+    other = chunks.select(F.col("g").alias("_og"), F.col("_c").alias("_j"), F.col("_pure").alias("_opure"))
+    pairs = chunks.join(other, (F.col("g") == F.col("_og")) & (F.col("_c") <= F.col("_j"))).filter(~F.coalesce(F.col("_pure") == F.col("_opure"), F.lit(False)))
+    pairs = pairs.select(F.col("g").alias("_pg"), F.col("_c").alias("_i"), "_j")
+    cols = ["g", "_i", "_j", "rep", "component"]
+    left = dealt.join(pairs, (F.col("g") == F.col("_pg")) & (F.col("_c") == F.col("_i"))).select(*cols)
+    right = dealt.join(pairs.filter("_i <> _j"), (F.col("g") == F.col("_pg")) & (F.col("_c") == F.col("_j"))).select(*cols)
+    return left.union(right)
+
+
+def forest(hit: np.ndarray, reps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (a, b) that span the components of a symmetric matrix of links."""
+    n = len(reps)
+    hit = hit | np.eye(n, dtype=bool)
+    least = np.arange(n)
+    while True:
+        now = np.where(hit, least[None, :], n).min(axis=1)
+        now = now[now]
+        if (now == least).all():
+            break
+        least = now
+    b = np.flatnonzero(least != np.arange(n))
+    return reps[least[b]], reps[b]

@@ -4,11 +4,14 @@ A document is the set of its distinct runs of five words. Documents with the sam
 (they are joined to their smallest doc_id and never compared). Each class has ``bands * rows`` minima of universal
 hashes and a bucket for each band. In a bucket, classes are linked to its first member and to their neighbours in
 orders that differ by bucket; the candidate pairs are compared by signature, then confirmed on full sets, and the
-confirmed ones are joined into components by large-star and small-star. After that, the classes of a bucket that lie in
-different components are compared again with more of its members, until a round finds no new link.
-
-A bucket's pairs grow with its size, not with its square; sets of a bucket are never gathered: a pair fetches its two
-texts. Defined results: null and empty texts, and texts without words, have size 0 and link with nothing; a text of
+confirmed ones are joined into components by large-star and small-star. A few rounds of neighbours in new orders join
+most of what links; then every two classes of a bucket that still lie in different components are compared on their full
+sets, in blocks of bounded size. So components are those of all links within buckets, at every size of a bucket; what is
+missed is what banding misses, (1 - s ** rows) ** bands of the pairs at similarity s, and, in buckets that the rounds
+cover (``window`` + 1 classes at most), a pair whose signatures agree in 0.16 less than its similarity.
+
+Buckets whose classes link cost pairs in proportion to their size; the classes of a bucket that do not link are compared
+each with each. Defined results: null and empty texts, and texts without words, have size 0 and link with nothing; a text of
 fewer than five words is one run; equal doc_ids are one node, whose set is that of the first text by hash; further columns
 are dropped by ``near_duplicates`` and kept by ``keep_first``.
 """
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from lexiloom.llm.common import small_batches, written
-from lexiloom.llm.components import components
+from lexiloom.llm.components import components, cross_blocks, forest
 
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -173,8 +176,43 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> D
     return both.mapInArrow(compare, "a long, b long")
 
 
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many hashes each two sets share."""
+    n = len(sets)
+    owner = np.repeat(np.arange(n), [len(x) for x in sets])
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    several = count > 1  # a hash of one set only is shared with none
+    number = np.cumsum(several) - 1
+    kept = several[column]
+    owner, column = owner[kept], number[column[kept]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((n, n))
+    for lo in range(0, int(several.sum()), 4096):
+        first, last = np.searchsorted(column, [lo, lo + 4096])
+        m = np.zeros((n, 4096), np.float32)
+        m[owner[first:last], column[first:last] - lo] = 1
+        out += m @ m.T
+    return out
+
+
+def block_links(blocks: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
+    """A spanning forest (a, b) of the links within each block (g, _i, _j), on full sets."""
+    t = texts.select(F.col("doc_id").alias("_t"), "text")
+
+    def compare(t: pa.Table) -> pa.Table:
+        sets = [shingle_hashes(x, width) for x in t.column("text").to_pylist()]
+        size = np.array([len(x) for x in sets], np.float64)
+        both = shared_counts(sets)
+        a, b = forest(100 * both >= percent * (size[:, None] + size[None, :] - both), t.column("rep").to_numpy())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    rows = blocks.join(t, F.col("rep") == F.col("_t")).select("g", "_i", "_j", "rep", "text")
+    return rows.groupBy("g", "_i", "_j").applyInArrow(compare, "a long, b long").distinct()
+
+
 def near_duplicates(
-    docs: DataFrame, *, percent: int = 85, bands: int = 20, rows: int = 6, width: int = 5, seed: int = 5, window: int = 3, more_rounds: int = 3
+    docs: DataFrame, *, percent: int = 85, bands: int = 20, rows: int = 6, width: int = 5, seed: int = 5, window: int = 3, more_rounds: int = 3, block: int = 128
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, kept."""
     spark = docs.sparkSession
@@ -217,6 +255,16 @@ def near_duplicates(
         if not found.isEmpty():
             links = links.union(found)
             node = components(links)
+    # the rounds have compared all pairs of a bucket of at most window + 1 classes; larger ones are finished in blocks
+    at = buckets.join(node, F.col("rep") == F.col("node"), "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
+    split = at.groupBy("bucket").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.count("*").alias("_k"))
+    split = split.filter((F.col("_lo") < F.col("_hi")) & (F.col("_k") > (window + 1 if more_rounds else 1))).select(F.col("bucket").alias("_b"))
+    open_ = written(at.join(split, F.col("bucket") == F.col("_b")).select(F.col("bucket").alias("g"), "rep", "component"), "near-dup-open")
+    if not open_.isEmpty():
+        need = texts.join(open_.select(F.col("rep").alias("_n")).distinct(), F.col("doc_id") == F.col("_n"), "left_semi")
+        found = written(block_links(cross_blocks(open_, block), written(need, "near-dup-texts"), percent, width), "near-dup-links")
+        if not found.isEmpty():
+            node = components(links.union(found))
     least = written(node, "near-dup-components") if node is not None else None
     # classes take their representative's component; members of a class find it by the set's key
     of_class = reps.select("set_key", "rep").join(least, F.col("rep") == F.col("node"), "left").select(F.col("set_key").alias("_key"), F.coalesce("component", "rep").alias("component_id"))
