@@ -2,6 +2,7 @@
 
 import numpy as np
 
+import corpus_pipeline
 from lexiloom.llm import near_dup
 
 
@@ -28,3 +29,12 @@ def test_near_dup_large_bucket(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {x["doc_id"]: x["component_id"] for x in near_dup.near_duplicates(df, bands=5, rows=1, block=100).collect()}
     assert got == {i: first.get(i, i) for i, _ in rows}
+
+
+def test_pipeline_joins_at_80(spark):
+    words = [f"w{i}" for i in range(100)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:90] + [f"v{i}" for i in range(10)]))]
+    a, b = (set(near_dup.shingle_hashes(t).tolist()) for _, t in rows)
+    assert 80 * len(a | b) <= 100 * len(a & b) < 85 * len(a | b)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r["doc_id"] for r in corpus_pipeline.near_dedup_stage(spark, df, "").collect()] == [1]
