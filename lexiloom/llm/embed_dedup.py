@@ -3,9 +3,10 @@
 In each pass a vector gets a key of concatenated one-bit hashes (signs of random projections) and the vectors of a
 label are ordered by key; each is compared with the ``window`` before it, and links are united: in a task by
 union-find (so that a task hands on a spanning forest and not its pairs), across tasks and passes by large-star and
-small-star. The number of passes follows from the largest label, so that the chance to miss a pair at the threshold
-stays under ``miss`` at every size. Components found, links are counted exactly: vectors of a component are compared in
-blocks of bounded size, which hand on counts and not pairs.
+small-star. The order is numbered and dealt in runs that repeat the ``window`` rows before them, so no border between
+tasks cuts a window. The number of passes follows from the largest label, so that a pair at the threshold shares the
+leading bits of its label in some pass but for a chance of ``miss``. Components found, links are counted exactly: vectors of a component are
+compared in blocks of bounded size, which hand on counts and not pairs.
 
 Vectors with equal components and label are one class from the start. Defined results: a vector that is null, zero, or
 holds null or non-finite components, or whose label is null, links with nothing and is its own component; vectors of
@@ -22,19 +23,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from lexiloom.llm.common import buckets_for, running_start, small_batches, written
 from lexiloom.llm.components import components
 
 SLACK = 1e-12
+RUN = 2048
+LEAST_PASSES = 4
 
 
 def passes_for(n: int, window: int, cosine: float, miss: float) -> int:
-    """Passes so that a pair at ``cosine`` among n vectors is neighboured but for a chance of ``miss``: it is if it
-    shares the bits that leave about half a window."""
+    """Passes so that a pair at ``cosine`` among n vectors is compared but for a chance of ``miss``: it is if it shares
+    the bits that leave about half a window in an even spread."""
     bits = max(0, math.ceil(math.log2(max(1.0, 2.0 * n / window))))
     same = (1 - math.acos(cosine) / math.pi) ** bits
-    return 1 if bits == 0 else min(512, math.ceil(math.log(miss) / math.log(1 - same)))
+    return LEAST_PASSES if bits == 0 else min(512, max(LEAST_PASSES, math.ceil(math.log(miss) / math.log(1 - same))))
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -75,7 +79,7 @@ def _keyed(classes: DataFrame, passes: int, seed: int) -> DataFrame:
 
 
 def _window_links(ordered: DataFrame, window: int, cosine: float) -> DataFrame:
-    """A spanning forest (a, b) of the links between neighbours, of partitions in order of (pass, label, dim, key)."""
+    """A spanning forest (a, b) of the links between neighbours, of partitions in order of (run, pass, label, dim, key)."""
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parent: dict[int, int] = {}
@@ -90,12 +94,12 @@ def _window_links(ordered: DataFrame, window: int, cosine: float) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            group = list(zip(*[b.column(k).to_pylist() for k in (0, 1, 2)]))
-            reps = b.column(3).to_numpy(zero_copy_only=False)
+            group = list(zip(*[b.column(k).to_pylist() for k in (0, 1, 2, 3)]))
+            reps = b.column(4).to_numpy(zero_copy_only=False)
             cuts = [0, *[i for i in range(1, len(group)) if group[i] != group[i - 1]], len(group)]
             out: list[tuple[int, int]] = []
             for lo, hi in zip(cuts, cuts[1:]):
-                x, r = _matrix(b.column(4).slice(lo, hi - lo)), reps[lo:hi]
+                x, r = _matrix(b.column(5).slice(lo, hi - lo)), reps[lo:hi]
                 before = 0
                 if tail is not None and tail[0] == group[lo]:
                     x, r, before = np.concatenate([tail[1], x]), np.concatenate([tail[2], r]), len(tail[2])
@@ -116,6 +120,17 @@ def _window_links(ordered: DataFrame, window: int, cosine: float) -> DataFrame:
     return ordered.mapInArrow(links, "a long, b long")
 
 
+def _numbered(keyed: DataFrame, parts: int) -> DataFrame:
+    """The rows of ``keyed`` with ``pos``, their number in the order of (pass, label, dim, key, rep)."""
+    order = ("pass", "label", "dim", "key", "rep")
+    placed = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    placed = written(placed, "embedding-order").withColumn("_part", F.shiftright("_at", 33))
+    sizes = placed.groupBy(F.col("_part").alias("_p")).agg(F.count("*").alias("_k"))
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_k").over(W.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    pos = F.col("_before") + F.col("_at") - F.shiftleft("_part", 33)
+    return placed.join(sizes, F.col("_part") == F.col("_p")).select(*order, "prefix", pos.alias("pos"))
+
+
 def _count(members: DataFrame, cosine: float, block: int) -> DataFrame:
     """rep, n: how many vectors (copies counted) of its component a class links with, itself left out."""
     n = members.count()
@@ -165,11 +180,18 @@ def embedding_components(vectors: DataFrame, *, cosine: float = 0.93, window: in
     classes = rows.groupBy("label", "_h").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult"), F.first("x").alias("x"))
     # a vec_id that repeats with other vectors: nodes are vec_ids, so each class keeps a number of its own below
     classes = written(classes, "embedding-classes")
-    most = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
+    sizes = classes.groupBy(F.col("label").alias("_l")).agg(F.count("*").alias("_n"))
+    most = sizes.agg(F.max("_n")).first()[0] or 0
     keyed = _keyed(classes, passes_for(int(most), window, cosine, miss), seed)
-    keyed = keyed.join(classes.select(F.col("rep").alias("_r"), F.col("label").alias("_l"), "x"), (F.col("rep") == F.col("_r")) & (F.col("label") == F.col("_l"))).select("pass", "label", "dim", "key", "rep", "x")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = keyed.repartitionByRange(parts, "pass", "label", "dim", "key", "rep").sortWithinPartitions("pass", "label", "dim", "key", "rep").select("pass", "label", "dim", "rep", "x")
+    bits = F.least(F.lit(32), F.greatest(F.lit(0), F.ceil(F.log2(2.0 * F.col("_n") / window)))).cast("int")
+    keyed = keyed.join(sizes, F.col("label") == F.col("_l")).withColumn("prefix", F.floor(F.col("key") / F.pow(F.lit(2.0), F.lit(32) - bits)))
+    numbered = written(_numbered(keyed.select("pass", "label", "dim", "key", "rep", "prefix"), int(spark.conf.get("spark.sql.shuffle.partitions"))), "embedding-numbered")
+    # a run of rows, and before it the window that the rows before it leave
+    run = F.floor(F.col("pos") / RUN)
+    runs = numbered.withColumn("run", F.explode(F.when(F.pmod("pos", F.lit(RUN)) >= RUN - window, F.array(run, run + 1)).otherwise(F.array(run))))
+    x = classes.select(F.col("rep").alias("_r"), F.col("label").alias("_l"), F.size("x").alias("_d"), "x")
+    runs = runs.join(x, (F.col("rep") == F.col("_r")) & (F.col("label") == F.col("_l")) & (F.col("dim") == F.col("_d")))
+    ordered = runs.repartition("run").sortWithinPartitions("run", "pos").select("run", "pass", "label", "dim", "rep", "x")
     links = written(_window_links(ordered, window, cosine), "embedding-links")
     node = written(components(links), "embedding-components")
     members = classes.join(node, F.col("rep") == F.col("node")).select("component", "rep", "mult", "x")

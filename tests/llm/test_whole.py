@@ -3,7 +3,7 @@
 import numpy as np
 
 import corpus_pipeline
-from lexiloom.llm import near_dup
+from lexiloom.llm import embed_dedup, near_dup
 
 
 def template_docs(n=600, pairs=60, core=400, own=50):
@@ -38,3 +38,28 @@ def test_pipeline_joins_at_80(spark):
     assert 80 * len(a | b) <= 100 * len(a & b) < 85 * len(a | b)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert [r["doc_id"] for r in corpus_pipeline.near_dedup_stage(spark, df, "").collect()] == [1]
+
+
+def components_of(vectors, labels):
+    x = np.array(vectors)
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    hit = (x @ x.T >= 0.93) & (np.array(labels)[:, None] == np.array(labels)[None, :])
+    least = np.arange(len(x))
+    while True:
+        now = np.where(hit, least[None, :], len(x)).min(axis=1)
+        if (now == least).all():
+            return {i: (int(hit[i].sum()) - 1, int(c)) for i, c in enumerate(least)}
+        least = now
+
+
+def check_vectors(spark, vectors, labels, **options):
+    df = spark.createDataFrame([(i, [float(e) for e in v], int(k)) for i, (v, k) in enumerate(zip(vectors, labels))], "vec_id long, embedding array<double>, label int")
+    got = {x["vec_id"]: (x["n_links"], x["component_id"]) for x in embed_dedup.embedding_components(df, **options).collect()}
+    assert got == components_of(vectors, labels)
+
+
+def test_embeddings_across_borders(spark):
+    r = np.random.default_rng(3)
+    centres = r.standard_normal((600, 64))
+    vectors = [c + s * 0.15 * r.standard_normal(64) for c in centres for s in (0, 1)]
+    check_vectors(spark, vectors, [i // 30 for i in range(len(vectors))])
