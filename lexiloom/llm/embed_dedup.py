@@ -5,7 +5,9 @@ label are ordered by key; each is compared with the ``window`` before it, and li
 union-find (so that a task hands on a spanning forest and not its pairs), across tasks and passes by large-star and
 small-star. The order is numbered and dealt in runs that repeat the ``window`` rows before them, so no border between
 tasks cuts a window. The number of passes follows from the largest label, so that a pair at the threshold shares the
-leading bits of its label in some pass but for a chance of ``miss``. Components found, links are counted exactly: vectors of a component are
+leading bits of its label in some pass but for a chance of ``miss``. Where more vectors share these bits than a window
+holds, those that still lie in different components are compared each with each, in blocks of bounded size: the chance
+does not depend on how dense a region is. Components found, links are counted exactly: vectors of a component are
 compared in blocks of bounded size, which hand on counts and not pairs.
 
 Vectors with equal components and label are one class from the start. Defined results: a vector that is null, zero, or
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from lexiloom.llm.common import buckets_for, running_start, small_batches, written
-from lexiloom.llm.components import components
+from lexiloom.llm.components import components, cross_blocks, forest
 
 SLACK = 1e-12
 RUN = 2048
@@ -131,6 +133,27 @@ def _numbered(keyed: DataFrame, parts: int) -> DataFrame:
     return placed.join(sizes, F.col("_part") == F.col("_p")).select(*order, "prefix", pos.alias("pos"))
 
 
+def _range_links(numbered: DataFrame, node: DataFrame, classes: DataFrame, window: int, cosine: float, block: int) -> DataFrame:
+    """Links (a, b) between components, of ranges of a key prefix that are larger than a window."""
+    by = ("pass", "label", "dim", "prefix")
+    member = numbered.join(node, F.col("rep") == F.col("node"), "left").select(*by, "rep", F.coalesce("component", "rep").alias("component"))
+    ranges = member.groupBy(*by).agg(F.count("*").alias("_k"), F.min("component").alias("_lo"), F.max("component").alias("_hi"))
+    ranges = ranges.filter((F.col("_k") > window + 1) & (F.col("_lo") < F.col("_hi"))).select(*[F.col(c).alias(f"_{c}") for c in by])
+    ranges = written(ranges.withColumn("g", F.monotonically_increasing_id()), "embedding-ranges")
+    on = [F.col(c) == F.col(f"_{c}") for c in by]
+    blocks = cross_blocks(written(member.join(ranges, on).select("g", "rep", "component"), "embedding-open"), block)
+
+    def compare(t: pa.Table) -> pa.Table:
+        x = _matrix(t.column("x").combine_chunks())
+        a, b = forest(x @ x.T >= cosine - SLACK, t.column("rep").to_numpy())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    x = classes.select(F.col("rep").alias("_r"), F.col("label").alias("_l"), F.size("x").alias("_d"), "x")
+    rows = blocks.join(ranges.select(F.col("g").alias("_g"), "_label", "_dim"), F.col("g") == F.col("_g"))
+    rows = rows.join(x, (F.col("rep") == F.col("_r")) & (F.col("_label") == F.col("_l")) & (F.col("_dim") == F.col("_d"))).select("g", "_i", "_j", "rep", "x")
+    return rows.groupBy("g", "_i", "_j").applyInArrow(compare, "a long, b long").distinct()
+
+
 def _count(members: DataFrame, cosine: float, block: int) -> DataFrame:
     """rep, n: how many vectors (copies counted) of its component a class links with, itself left out."""
     n = members.count()
@@ -193,7 +216,8 @@ def embedding_components(vectors: DataFrame, *, cosine: float = 0.93, window: in
     runs = runs.join(x, (F.col("rep") == F.col("_r")) & (F.col("label") == F.col("_l")) & (F.col("dim") == F.col("_d")))
     ordered = runs.repartition("run").sortWithinPartitions("run", "pos").select("run", "pass", "label", "dim", "rep", "x")
     links = written(_window_links(ordered, window, cosine), "embedding-links")
-    node = written(components(links), "embedding-components")
+    more = written(_range_links(numbered, components(links), classes, window, cosine, block), "embedding-links")
+    node = written(components(links.union(more)), "embedding-components")
     members = classes.join(node, F.col("rep") == F.col("node")).select("component", "rep", "mult", "x")
     counts = _count(written(members, "embedding-members"), cosine, block)
     of_class = (

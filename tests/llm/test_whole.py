@@ -58,6 +58,14 @@ def check_vectors(spark, vectors, labels, **options):
     assert got == components_of(vectors, labels)
 
 
+def test_embeddings_dense_region(spark):
+    r = np.random.default_rng(2)
+    centre = r.standard_normal(64)
+    near = [centre + 0.42 * r.standard_normal(64) for _ in range(1500)]
+    near += [near[i] + 0.3 * r.standard_normal(64) for i in range(0, 300, 5)]
+    check_vectors(spark, near, [0] * len(near), window=8)
+
+
 def test_embeddings_across_borders(spark):
     r = np.random.default_rng(3)
     centres = r.standard_normal((600, 64))
