@@ -1,7 +1,7 @@
 """Media columns: WAV samples, short-time Fourier transforms and spectral-peak pair fingerprints.
 
 A payload of bytes is stored as unsigned 8-bit mono samples of a WAV file by the ``wave`` module and read back with it.
-Frames of ``frame`` samples under a Hann window give spectra; the strongest bins of a frame that exceed their
+Frames of ``frame`` samples under a Hann window, each begun half a frame after the last, give spectra; the strongest bins of a frame that exceed their
 neighbours are its peaks, and each peak is paired with the peaks of the next frames. A pair is a code (first bin,
 second bin, frames between) at a time: two arrays of equal length, ``times`` and ``codes``, in order of time.
 
@@ -96,7 +96,7 @@ def pair_codes(times: np.ndarray, bins: np.ndarray, reach: int, fan: int) -> tup
 MEDIA_SCHEMA = "doc_id long, n_bytes long, media binary, payload binary, times array<int>, codes array<long>"
 
 
-def media_columns(docs: DataFrame, *, frame: int = BLOCK, hop: int = BLOCK, per_frame: int = 3, reach: int = 4, fan: int = 3) -> DataFrame:
+def media_columns(docs: DataFrame, *, frame: int = 128, hop: int = 64, per_frame: int = 3, reach: int = 4, fan: int = 3) -> DataFrame:
     """doc_id, n_bytes, media (WAV), payload (as read back), times and codes (the fingerprint)."""
     small_batches(docs.sparkSession, 256)
 

@@ -3,7 +3,7 @@
 import numpy as np
 
 import corpus_pipeline
-from lexiloom.llm import embed_dedup, near_dup
+from lexiloom.llm import embed_dedup, media, near_dup
 
 
 def template_docs(n=600, pairs=60, core=400, own=50):
@@ -71,3 +71,11 @@ def test_embeddings_across_borders(spark):
     centres = r.standard_normal((600, 64))
     vectors = [c + s * 0.15 * r.standard_normal(64) for c in centres for s in (0, 1)]
     check_vectors(spark, vectors, [i // 30 for i in range(len(vectors))])
+
+
+def test_media_short_texts_differ(spark):
+    r = np.random.default_rng(4)
+    rows = [(i, "".join("abcdefghij klm"[k] for k in r.integers(0, 14, 300))) for i in range(20)]
+    got = media.media_columns(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(len(r["codes"]) > 0 for r in got)
+    assert len({(tuple(r["times"]), tuple(r["codes"])) for r in got}) == len(rows)
