@@ -13,10 +13,15 @@ from pyspark.sql.types import ArrayType, StringType
 
 # Suffixes in the order in which they are tried, and what they become. In each list the first suffix that
 # a word ends with decides, whether or not it may go.
-STEP2 = "ational ate,tional tion,enci ence,anci ance,izer ize,abli able,alli al,entli ent,eli e,ousli ous,ization ize,ation ate,ator ate,alism al,iveness ive,fulness ful,ousness ous,aliti al,iviti ive,biliti ble"
-STEP3 = "icate ic,ative ,alize al,iciti ic,ical ic,ful ,ness "
-STEP4 = "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize"
-_PAIRS = [[tuple(p.split(" ")) for p in s.split(",")] for s in (STEP2, STEP3)]
+STEP2 = (
+    ("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("abli", "able"), ("alli", "al"), ("entli", "ent"),
+    ("eli", "e"), ("ousli", "ous"), ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"),
+    ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble"),
+)
+STEP3 = (
+    ("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", ""),
+)
+STEP4 = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize")
 
 
 def _shape(word: str) -> str:
@@ -58,11 +63,11 @@ def porter(word: str) -> str:
             w += "e"
     if w.endswith("y") and "v" in _shape(w[:-1]):
         w = w[:-1] + "i"
-    for pairs in _PAIRS:
+    for pairs in (STEP2, STEP3):
         hit = next(((w[: -len(a)], b) for a, b in pairs if w.endswith(a)), None)
         if hit and _measure(hit[0]):
             w = "".join(hit)
-    suffix = next((s for s in STEP4.split(" ") if w.endswith(s)), None)
+    suffix = next((s for s in STEP4 if w.endswith(s)), None)
     if suffix:
         stem = w[: -len(suffix)]
         if _measure(stem) > 1 and (suffix != "ion" or stem[-1:] in ("s", "t")):

@@ -11,14 +11,18 @@ from pyspark.sql import functions as F
 
 # The word lists, patterns and weights below define results.
 BM25_STOPWORDS = (
-    "a all also an and are as at be been both but by can could did do does each every few for from had has have he here how i in is it its just may might more most must "
-    "need no nor not now of on only or other own same shall she should so some such than that the there these they this those to too very was we were what when where which who why will with would you"
-).split()
+    "a", "all", "also", "an", "and", "are", "as", "at", "be", "been", "both", "but", "by", "can", "could", "did", "do", "does", "each", "every", "few", "for", "from", "had", "has",
+    "have", "he", "here", "how", "i", "in", "is", "it", "its", "just", "may", "might", "more", "most", "must", "need", "no", "nor", "not", "now", "of", "on", "only", "or", "other",
+    "own", "same", "shall", "she", "should", "so", "some", "such", "than", "that", "the", "there", "these", "they", "this", "those", "to", "too", "very", "was", "we", "were",
+    "what", "when", "where", "which", "who", "why", "will", "with", "would", "you",
+)
 KEY_TERM_STOPWORDS = (
-    "a about above after again against all although an and are as at be because been before being below best between both but by can could did do does down during each every few for from "
-    "had has have he her him his how i if in into is it its just may me might more most must my need no not of off on only or other our out over same shall she should so some such than that "
-    "the their them these they this those through to too under up very was way we were what when where which while who whom why will with without would you your"
-).split()
+    "a", "about", "above", "after", "again", "against", "all", "although", "an", "and", "are", "as", "at", "be", "because", "been", "before", "being", "below", "best", "between",
+    "both", "but", "by", "can", "could", "did", "do", "does", "down", "during", "each", "every", "few", "for", "from", "had", "has", "have", "he", "her", "him", "his", "how", "i",
+    "if", "in", "into", "is", "it", "its", "just", "may", "me", "might", "more", "most", "must", "my", "need", "no", "not", "of", "off", "on", "only", "or", "other", "our", "out",
+    "over", "same", "shall", "she", "should", "so", "some", "such", "than", "that", "the", "their", "them", "these", "they", "this", "those", "through", "to", "too", "under", "up",
+    "very", "was", "way", "we", "were", "what", "when", "where", "which", "while", "who", "whom", "why", "will", "with", "without", "would", "you", "your",
+)
 ESTIMATE_PUNCTUATION = ".,!?;:'\"()[]{}/<>-_@#$%^&*+=~`|"
 ANSWER_PREFIXES = (
     "Answer:", "Response:", "Here is", "Sure,", "Based on the context,", "According to the documentation,", "Steps:", "Explanation:", "Analysis:", "Location:",
@@ -55,12 +59,12 @@ def bm25_tokens(c: Column, remove_stopwords: bool = True) -> Column:
     """Words for the inverted index: camel case, underscores and hyphens split; punctuation separates."""
     x = F.regexp_replace(F.regexp_replace(c, "([a-z])([A-Z])", "$1 $2"), "[_-]", " ")
     words = _words(F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}_\s]", " "))
-    return F.filter(words, lambda w: ~w.isin(BM25_STOPWORDS)) if remove_stopwords else words
+    return F.filter(words, lambda w: ~w.isin(*BM25_STOPWORDS)) if remove_stopwords else words
 
 
 def key_terms(c: Column) -> Column:
     """The words of a question that carry its meaning."""
-    return F.filter(general_tokens(c), lambda w: ~w.isin(KEY_TERM_STOPWORDS) & (F.length(w) > 1))
+    return F.filter(general_tokens(c), lambda w: ~w.isin(*KEY_TERM_STOPWORDS) & (F.length(w) > 1))
 
 
 def clean_text(c: Column) -> Column:
@@ -75,6 +79,11 @@ def content_hash(c: Column) -> Column:
     return F.sha2(F.coalesce(c, F.lit("")), 256)
 
 
+def query_problem(c: Column, most: int = 10_000) -> Column:
+    """Why a question is not taken: empty, or too long; null if it is."""
+    return F.when(F.coalesce(F.length(c), F.lit(0)) == 0, "The question is empty").when(F.length(c) > most, f"The question is longer than {most} characters")
+
+
 def query_hash(c: Column) -> Column:
     return F.sha2(F.lower(F.trim(c)), 256)
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 from pyspark.sql.window import Window as W
 
 from lexiloom.functions import urls
-from lexiloom.sources.store import staged
+from lexiloom.sources.store import staged, staging_path
 
 
 def crawlable(found: DataFrame, url: str, allowed: list[str], excluded: list[str], included: list[str] | None = None, robots: dict | None = None) -> DataFrame:
@@ -22,20 +23,25 @@ def crawlable(found: DataFrame, url: str, allowed: list[str], excluded: list[str
 def bfs(links: DataFrame, seeds: DataFrame, most_depth: int | None = None) -> DataFrame:
     """node, depth: what is reachable from ``seeds`` (node) over ``links`` (src, dst), by breadth-first levels.
 
-    Each level is an anti-join of the frontier's targets with what was visited; levels are written to the shared folder,
-    so the plan of a level does not hold those before it and lost executors cost one level at most.
+    Each level is an anti-join of the frontier's targets with what was visited. Distinct edges are written once; levels are
+    written as parts of one table in the shared folder, which the next level reads, so no plan grows with the depth and
+    lost executors cost one level at most.
     """
-    edges = links.select("src", "dst").distinct()
-    visited = staged(seeds.select("node").distinct().withColumn("depth", F.lit(0)), "bfs")
-    frontier, depth = visited, 0
+    spark = links.sparkSession
+    edges = staged(links.select("src", "dst").distinct(), "bfs-edges")
+    seen = staging_path(spark, "bfs-levels")
+    start = seeds.select("node").distinct()
+    start.write.parquet(f"{seen}/depth=0")
+    schema = StructType([start.schema["node"], StructField("depth", IntegerType())])
+    visited, depth = (lambda: spark.read.schema(schema).parquet(seen)), 0
     while most_depth is None or depth < most_depth:
-        depth += 1
+        frontier = visited().filter(F.col("depth") == depth)
         nxt = edges.join(frontier.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
-        frontier = staged(nxt.join(visited.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)), "bfs")
-        if frontier.isEmpty():
+        depth += 1
+        nxt.join(visited().select("node"), "node", "left_anti").write.parquet(f"{seen}/depth={depth}")
+        if visited().filter(F.col("depth") == depth).isEmpty():
             break
-        visited = visited.unionByName(frontier)
-    return visited
+    return visited()
 
 
 def fifo(queue: DataFrame, n: int, by: str = "session_id") -> DataFrame:

@@ -28,17 +28,18 @@ def valid_relationships(found: DataFrame) -> DataFrame:
     return found.filter(_filled("source", "target", "type"))
 
 
-def resolve_entities(mentions: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """Entities of (name, type, description, ord): one for each normalised name, the first mention's attributes win and
-    known entities stay as they are. New ids follow the largest known one in the order of first mentions.
+def number_entities(mentions: DataFrame, known: DataFrame | None, by: Column, key: str) -> DataFrame:
+    """Entities of (name, type, description, ord): one for each value of ``by``, called ``key`` among the known ones. The
+    first mention's attributes win and known entities stay as they are. New ids follow the largest known one in the order
+    of first mentions.
 
     New entities are numbered in ranges of ``ord``, each range by itself after a sum over range counts, so no task
     numbers them all.
     """
-    rows = valid_entities(mentions).withColumn("normalized_name", normalize_name(F.col("name")))
-    first = rows.groupBy("normalized_name").agg(F.min_by(F.struct("name", "type", "description"), "ord").alias("e"), F.min("ord").alias("ord"))
+    rows = valid_entities(mentions).withColumn("_key", by)
+    first = rows.groupBy("_key").agg(F.min_by(F.struct("name", "type", "description"), "ord").alias("e"), F.min("ord").alias("ord"))
     if known is not None:
-        first = first.join(known.select("normalized_name"), "normalized_name", "left_anti")
+        first = first.join(known.select(F.col(key).alias("_key")), "_key", "left_anti")
         start = known.agg(F.coalesce(F.max("entity_id"), F.lit(-1)) + 1).first()[0]
     else:
         start = 0
@@ -47,11 +48,16 @@ def resolve_entities(mentions: DataFrame, known: DataFrame | None = None) -> Dat
     sizes = new.groupBy("_b").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     new = new.join(sizes.withColumn("_before", before).drop("_n"), "_b")
-    at = F.row_number().over(W.partitionBy("_b").orderBy("ord", "normalized_name")) - 1
-    new = new.select((F.col("_before") + at + start).alias("entity_id"), "e.name", "e.type", "e.description", "normalized_name")
+    at = F.row_number().over(W.partitionBy("_b").orderBy("ord", "_key")) - 1
+    new = new.select((F.col("_before") + at + start).alias("entity_id"), "e.name", "e.type", "e.description", normalize_name(F.col("e.name")).alias("normalized_name"))
     return new if known is None else known.select(*new.columns).unionByName(new)
 
 
+def resolve_entities(mentions: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """As ``number_entities``, one entity for each normalised name."""
+    return number_entities(mentions, known, normalize_name(F.col("name")), "normalized_name")
+
+
 def link_entities(mentions: DataFrame, entities: DataFrame) -> DataFrame:
     """Distinct (doc_id, entity_id) of mentions (doc_id, name)."""
     rows = mentions.select("doc_id", normalize_name(F.col("name")).alias("normalized_name"))
@@ -105,16 +111,14 @@ def search_entities(entities: DataFrame, question: Column) -> DataFrame:
     return entities.filter(F.exists(general_tokens(question), lambda t: low.contains(t)))
 
 
-def subgraph(entities: DataFrame, edges: DataFrame) -> DataFrame:
-    """entity_id, name, outgoing and incoming: counts and the other ends' names in order, over all entities.
-
-    Names are joined from one row per edge; ends of an entity with very many edges are a long string, as asked for.
-    """
-    near = neighbours(edges, entities)
-    side = lambda d: F.array_join(F.sort_array(F.collect_list(F.when(F.col("direction") == d, F.concat_ws(":", "type", "other_name")))), ",")
-    got = near.groupBy("entity_id").agg(side("outgoing").alias("outgoing"), side("incoming").alias("incoming"), F.count("*").alias("n_edges"))
-    out = entities.select("entity_id", "name").join(got, "entity_id", "left")
-    return out.select("entity_id", "name", *[F.coalesce(c, F.lit("")).alias(c) for c in ("outgoing", "incoming")], F.coalesce("n_edges", F.lit(0)).alias("n_edges"))
+def subgraph(entities: DataFrame, edges: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """entity_id, name, direction, type, other_id, other_name: a row for each edge at each entity (or those ``of``), and one
+    without an edge for an entity that has none. An entity may have any number of edges; no row holds them all."""
+    near = neighbours(edges, entities, of)
+    own = entities.select("entity_id", "name")
+    if of is not None:
+        own = own.join(of.select("entity_id").distinct(), "entity_id", "left_semi")
+    return own.join(near, "entity_id", "left").select("entity_id", "name", "direction", "type", "other_id", "other_name")
 
 
 def entity_context(results: DataFrame, links: DataFrame, entities: DataFrame, edges: DataFrame, most: int = 10) -> DataFrame:

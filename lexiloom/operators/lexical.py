@@ -19,6 +19,7 @@ from pyspark.sql.window import Window as W
 
 from lexiloom.functions.stem import stem_words
 from lexiloom.functions.text import bm25_tokens
+from lexiloom.sources.store import staged
 
 K1, B = 1.5, 0.75
 
@@ -28,24 +29,28 @@ def terms_of(text: Column, stem: bool) -> Column:
     return stem_words(words) if stem else words
 
 
-def postings(docs: DataFrame, doc: str = "doc_id", text: str = "text", stem: bool = False) -> DataFrame:
-    """doc_id, dl (indexed words of the document), term, tf."""
+LENGTH = ""  # the term of the row that stands for a document itself; no word is empty
+
+
+def indexed(docs: DataFrame, doc: str = "doc_id", text: str = "text", stem: bool = False) -> DataFrame:
+    """doc_id, dl, term, tf: the postings, and for each document a row of term ``LENGTH``; from one pass over the texts."""
     rows = docs.select(F.col(doc).alias("doc_id"), terms_of(F.col(text), stem).alias("_w"))
-    rows = rows.select("doc_id", F.size("_w").cast("long").alias("dl"), F.explode("_w").alias("term"))
+    # the outer explode repeats no word list in a filter; no list is empty
+    rows = rows.select("doc_id", F.size("_w").cast("long").alias("dl"), F.explode_outer(F.concat("_w", F.array(F.lit(LENGTH)))).alias("term"))
     return rows.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
 
 
-def document_frequencies(index: DataFrame) -> DataFrame:
-    return index.groupBy("term").agg(F.count("*").alias("doc_frequency"))
+def postings(docs: DataFrame, doc: str = "doc_id", text: str = "text", stem: bool = False) -> DataFrame:
+    """doc_id, dl (indexed words of the document), term, tf."""
+    return indexed(docs, doc, text, stem).filter(F.col("term") != LENGTH)
 
 
-def lengths(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, dl of all documents, those without words too; stemming keeps the number of words."""
-    return docs.select(F.col(doc).alias("doc_id"), F.size(terms_of(F.col(text), False)).cast("long").alias("dl"))
+def document_frequencies(index: DataFrame) -> DataFrame:
+    return index.groupBy("term").agg(F.count("*").alias("doc_frequency"))
 
 
 def stats_of(lengths: DataFrame) -> DataFrame:
-    """One row: total_docs and avg_doc_length."""
+    """One row: total_docs and avg_doc_length, of (doc_id, dl)."""
     return lengths.agg(F.count("*").alias("total_docs"), F.coalesce(F.sum("dl") / F.nullif(F.count("*"), F.lit(0)), F.lit(0.0)).alias("avg_doc_length"))
 
 
@@ -55,41 +60,51 @@ def corpus_stats(docs: DataFrame, text: str = "text") -> DataFrame:
 
 @dataclass
 class LexicalIndex:
-    """Postings and document lengths as DataFrames; kept as Parquet by ``save`` and found again by ``load``. Frequencies
-    and statistics are sums over them, so they cannot drift from what is indexed."""
+    """The index as one table (doc_id, dl, term, tf), written once; kept by ``save`` and found again by ``load``. Frequencies
+    and statistics are sums over it, so they cannot drift from what is indexed. Terms are stemmed unless ``stem`` is off."""
+
+    table: DataFrame
+    stem: bool = True
 
-    postings: DataFrame
-    lengths: DataFrame
-    stem: bool = False
+    @property
+    def postings(self) -> DataFrame:
+        return self.table.filter(F.col("term") != LENGTH)
+
+    @property
+    def lengths(self) -> DataFrame:
+        return self.table.filter(F.col("term") == LENGTH).select("doc_id", "dl")
 
     @property
     def stats(self) -> DataFrame:
         return stats_of(self.lengths)
 
     @classmethod
-    def build(cls, docs: DataFrame, doc: str = "doc_id", text: str = "text", stem: bool = False) -> LexicalIndex:
-        return cls(postings(docs, doc, text, stem), lengths(docs, doc, text), stem)
+    def build(cls, docs: DataFrame, doc: str = "doc_id", text: str = "text", stem: bool = True) -> LexicalIndex:
+        """Reads the texts once; searches read the table in the shared folder."""
+        return cls(staged(indexed(docs, doc, text, stem), "postings"), stem)
 
     def save(self, path: str) -> LexicalIndex:
-        """Postings are laid out in term order, so a search reads only the row groups of its terms."""
-        self.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
-        self.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
-        return self.load(self.postings.sparkSession, path, self.stem)
+        """Laid out in term order, so a search reads only the row groups of its terms."""
+        ordered = self.table.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
+        ordered.write.mode("overwrite").parquet(f"{path}/stem={self.stem}")
+        return self.load(self.table.sparkSession, path, self.stem)
 
     @classmethod
-    def load(cls, spark, path: str, stem: bool = False) -> LexicalIndex:
-        return cls(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"), stem)
+    def load(cls, spark, path: str, stem: bool = True) -> LexicalIndex:
+        return cls(spark.read.parquet(f"{path}/stem={stem}"), stem)
 
     def remove(self, ids: DataFrame) -> LexicalIndex:
         """Without the documents of ``ids`` (doc_id); ids that are not indexed change nothing."""
-        gone = ids.select("doc_id").distinct()
-        return LexicalIndex(self.postings.join(gone, "doc_id", "left_anti"), self.lengths.join(gone, "doc_id", "left_anti"), self.stem)
-
-    def upsert(self, docs: DataFrame, doc: str = "doc_id", text: str = "text") -> LexicalIndex:
-        """With new or changed documents; of a repeated id the last text in order counts. Indexing again changes nothing."""
-        new = docs.groupBy(F.col(doc).alias("doc_id")).agg(F.max(text).alias("text"))
-        base = self.remove(new)
-        return LexicalIndex(base.postings.unionByName(postings(new, stem=self.stem)), base.lengths.unionByName(lengths(new)), self.stem)
+        return LexicalIndex(self.table.join(ids.select("doc_id").distinct(), "doc_id", "left_anti"), self.stem)
+
+    def upsert(self, docs: DataFrame, doc: str = "doc_id", text: str = "text", order: str | None = None) -> LexicalIndex:
+        """With new or changed documents. Of a repeated id the row with the largest ``order`` counts, as the one indexed last;
+        without an order, the largest text. Indexing again changes nothing."""
+        best = F.max(text) if order is None else F.max_by(text, order)
+        new = docs.groupBy(F.col(doc).alias("doc_id")).agg(best.alias("text"))
+        made = staged(indexed(new, stem=self.stem), "postings")
+        kept = self.remove(made.filter(F.col("term") == LENGTH)).table
+        return LexicalIndex(kept.unionByName(made), self.stem)
 
     def search(self, questions: DataFrame, k: int = 10, query: str = "query_id", text: str = "text") -> DataFrame:
         """query_id, doc_id, score, rank for (query_id, text) rows: the best ``k`` documents of each question."""

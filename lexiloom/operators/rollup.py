@@ -3,12 +3,14 @@ stands here is extractive: the first characters of a text."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from lexiloom.functions.text import clean_text
 from lexiloom.functions.urls import system_name
+from lexiloom.sources.store import Versioned
 
 READ_CHARS = 5000
 
@@ -31,22 +33,64 @@ def detect_systems(pages: DataFrame, url: str = "url") -> DataFrame:
     return pages.withColumn("system", system_name(F.col(url)))
 
 
-def system_rollup(pages: DataFrame, lines: int = 20, most: int = 400) -> DataFrame:
-    """system, n_pages, summary: the first ``lines`` non-empty page summaries (by page_id), a line each, shortened.
+def system_rollup(pages: DataFrame, pages_per_part: int = 1000) -> DataFrame:
+    """system, part, n_pages, n_lines, content: a line for every page summary of a system that is not empty, by page_id.
+
+    A system of any size is a series of parts (by ranges of ``pages_per_part`` page ids), which in order of ``part`` are the
+    whole text: nothing is left out, and no row holds all of a system."""
+    line = F.when(F.coalesce("summary", F.lit("")) != "", F.format_string("- %s: %s", F.coalesce("title", F.lit("")), F.col("summary")))
+    rows = pages.select("system", F.floor(F.col("page_id") / pages_per_part).alias("part"), "page_id", line.alias("_l"))
+    ordered = F.array_sort(F.collect_list(F.when(F.col("_l").isNotNull(), F.struct("page_id", "_l"))))
+    out = rows.groupBy("system", "part").agg(F.count("*").alias("n_pages"), F.count("_l").alias("n_lines"), ordered.alias("_ls"))
+    return out.select("system", "part", "n_pages", "n_lines", F.array_join(F.transform("_ls", lambda x: x["_l"]), "\n").alias("content"))
+
+
+def system_summaries(parts: DataFrame, summarize=extractive) -> DataFrame:
+    """system, n_pages, n_lines, summary: what ``summarize`` makes of each part's lines, the parts' in order, a line each."""
+    rows = parts.select("system", "part", "n_pages", "n_lines", summarize(F.col("content")).alias("_s"))
+    made = F.array_sort(F.collect_list(F.when(F.col("_s") != "", F.struct("part", "_s"))))
+    out = rows.groupBy("system").agg(F.sum("n_pages").alias("n_pages"), F.sum("n_lines").alias("n_lines"), made.alias("_p"))
+    return out.select("system", "n_pages", "n_lines", F.array_join(F.transform("_p", lambda x: x["_s"]), "\n").alias("summary"))
+
+
+def global_rollup(systems: DataFrame, summarize=None) -> DataFrame:
+    """One row: n_systems, n_pages, content: a line for every system's summary that is not empty, by name; of ``summarize``
+    if there is one. Systems are the products that addresses name."""
+    line = F.when(F.coalesce("summary", F.lit("")) != "", F.format_string("- %s: %s", F.col("system"), F.col("summary")))
+    rows = systems.select("system", "n_pages", line.alias("_l"))
+    ordered = F.array_sort(F.collect_list(F.when(F.col("_l").isNotNull(), F.struct("system", "_l"))))
+    out = rows.agg(F.count("*").alias("n_systems"), F.coalesce(F.sum("n_pages"), F.lit(0)).alias("n_pages"), ordered.alias("_ls"))
+    content = F.array_join(F.transform("_ls", lambda x: x["_l"]), "\n")
+    return out.select("n_systems", "n_pages", (content if summarize is None else summarize(content)).alias("content"))
+
+
+def rebuild(pages: DataFrame, folder: str, summarize=extractive, text: str = "text", force: bool = False) -> dict[str, object]:
+    """Pages, then systems with their links to pages, then systems' summaries, then the whole corpus, each stage a new
+    version of its table under ``folder``; counts, and the errors of stages that failed. A stage that fails leaves its old
+    table, and those after it work with that."""
+    spark = pages.sparkSession
+    store = {n: Versioned(spark, f"{folder}/{n}") for n in ("page_summaries", "page_systems", "system_summaries", "global_summary")}
+    done: dict[str, object] = {"errors": []}
+
+    def stage(name: str, make: Callable[[], DataFrame]) -> DataFrame | None:
+        try:
+            made = store[name].write(make())
+            done[name] = made.count()
+            return made
+        except Exception as e:  # told to the caller; other stages go on with what there is
+            done["errors"].append(f"{name}: {str(e).splitlines()[0]}")
+            return store[name].read()
 
-    Each system keeps a bounded heap of lines while it aggregates, never all of its pages."""
-    line = F.format_string("- %s: %s", F.coalesce("title", F.lit("")), F.col("summary"))
-    rows = pages.select("system", "page_id", F.when(F.col("summary") != "", line).alias("_l"))
-    counted = rows.groupBy("system").agg(F.count("*").alias("n_pages"))
-    # two ranking limits: the second sees ``lines`` rows of a system at most from each partition
-    first = rows.filter("_l is not null").withColumn("_n", F.row_number().over(W.partitionBy("system").orderBy("page_id"))).filter(F.col("_n") <= lines)
-    text = first.groupBy("system").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "_l"))), lambda x: x["_l"]), "\n").alias("_s"))
-    return counted.join(text, "system", "left").select("system", "n_pages", F.substring(F.coalesce("_s", F.lit("")), 1, most).alias("summary"))
+    own = stage("page_summaries", lambda: page_summaries(detect_systems(pages), text, summarize, force).select("page_id", "title", "url", "system", "summary"))
+    if own is None:
+        return done
+    stage("page_systems", lambda: own.select("system", "page_id").distinct())
+    systems = stage("system_summaries", lambda: system_summaries(system_rollup(own), summarize))
+    if systems is not None:
+        stage("global_summary", lambda: global_rollup(systems, summarize))
+    return done
 
 
-def global_rollup(systems: DataFrame, most: int = 2000, lines: int = 100) -> DataFrame:
-    """One row: n_systems, n_pages, content: the first systems by name, a line each."""
-    counts = systems.agg(F.count("*").alias("n_systems"), F.coalesce(F.sum("n_pages"), F.lit(0)).alias("n_pages"))
-    top = systems.select("system", F.format_string("- %s: %s", F.col("system"), F.substring("summary", 1, 80)).alias("_l")).orderBy("system").limit(lines)
-    text = top.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("system", "_l"))), lambda x: x["_l"]), "\n").alias("_t"))
-    return counts.crossJoin(F.broadcast(text)).select("n_systems", "n_pages", F.substring("_t", 1, most).alias("content"))
+def summary_list(pages: DataFrame) -> DataFrame:
+    """page_id, title, url, summary of the pages that have one."""
+    return pages.filter(F.coalesce("summary", F.lit("")) != "").select("page_id", "title", "url", "summary")

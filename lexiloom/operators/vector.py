@@ -1,21 +1,22 @@
-"""Exact nearest vectors by cosine, for one question or many, in bounded blocks.
+"""Exact nearest vectors by cosine, for one question or many, in matrix products of bounded size and double precision.
 
-Vectors and questions are dealt to chunks and blocks of bounded size; each pair of a chunk and a block is one matrix
-product in double precision that hands on at most ``k`` rows for each question, and a ranking limit joins those. No task
-holds more than one chunk and one block, whatever the sizes of the tables.
-
-Null, empty and zero vectors, and vectors of another length than the question's, have similarity 0.
+Empty and zero vectors, and vectors of another length than the question's, have similarity 0, which a threshold of 0
+keeps. A null is no vector: such rows are not searched, and such questions find nothing.
 """
 
 from __future__ import annotations
 
+import time
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiloom.functions.text import contextual_text
 from lexiloom.operators.lexical import top_k
+from lexiloom.sources.store import Versioned, staged
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -28,49 +29,84 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(F.when(fine, dot / norms), F.lit(0.0))
 
 
-def nearest(vectors: DataFrame, questions: DataFrame, k: int = 10, threshold: float = 0.0, chunk: int = 8192, block: int = 256) -> DataFrame:
+def unit_rows(ids: np.ndarray, lists: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By length: ids and unit rows (zero rows and empty ones stay zero; null lists are left out)."""
+    out = {}
+    sizes = np.array([-1 if s is None else s for s in pa.compute.list_value_length(lists).to_pylist()])
+    for d in set(sizes.tolist()) - {-1}:
+        at = np.flatnonzero(sizes == d)
+        m = np.nan_to_num(lists.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(at), d))
+        norm = np.sqrt((m * m).sum(1, keepdims=True))
+        out[d] = ids[at], np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+    return out
+
+
+class _Best:
+    """The best ``k`` vectors of each question so far: by score, then by the smaller id."""
+
+    def __init__(self, questions: dict[int, tuple[np.ndarray, np.ndarray]], k: int, threshold: float):
+        self.questions, self.k, self.threshold = questions, k, threshold
+        self.held = {d: [(np.zeros(0, np.int64), np.zeros(0))] * len(ids) for d, (ids, _) in questions.items()}
+
+    def add(self, ids: np.ndarray, lists: pa.Array) -> None:
+        vectors = unit_rows(ids, lists)
+        for d, (_, q) in self.questions.items():
+            vid = np.concatenate([v for v, _ in vectors.values()]) if vectors else np.zeros(0, np.int64)
+            # vectors of another length than the question's have similarity 0
+            s = np.concatenate([q @ m.T if own == d else np.zeros((len(q), len(v))) for own, (v, m) in vectors.items()], axis=1) if vectors else np.zeros((len(q), 0))
+            s = np.round(s, 6) + 0.0
+            for i in range(len(q)):
+                had_id, had = self.held[d][i]
+                row_id, row = np.concatenate([had_id, vid]), np.concatenate([had, s[i]])
+                least = self.threshold if len(row) <= self.k else max(self.threshold, np.partition(row, len(row) - self.k)[len(row) - self.k])
+                fine = row >= least
+                row_id, row = row_id[fine], row[fine]
+                order = np.lexsort((row_id, -row))[: self.k]
+                self.held[d][i] = row_id[order], row[order]
+
+    def rows(self) -> pa.RecordBatch:
+        parts = [(np.full(len(v), q), v, s) for d, (ids, _) in self.questions.items() for q, (v, s) in zip(ids, self.held[d])]
+        cat = lambda i, t: pa.array(np.concatenate([p[i] for p in parts]) if parts else [], t)
+        return pa.RecordBatch.from_arrays([cat(0, pa.int64()), cat(1, pa.int64()), cat(2, pa.float64())], names=["query_id", "vec_id", "score"])
+
+
+def nearest(vectors: DataFrame, questions: DataFrame, k: int = 10, threshold: float = 0.0, sent_bytes: int = 64 << 20, chunk: int = 8192, block: int = 256) -> DataFrame:
     """query_id, vec_id, score, rank. ``vectors``: (vec_id, embedding); ``questions``: (query_id, embedding).
 
-    Similarities below ``threshold`` (0 drops what points away) are left out.
+    Similarities below ``threshold`` (0 drops what points away) are left out. Questions of at most ``sent_bytes`` go to
+    every task, and vectors are read where they are; each task hands on ``k`` rows for each question. More questions are
+    dealt to blocks, and each pair of a block and a chunk of vectors meets in a task.
     """
-    n, m = vectors.count(), questions.count()
-    chunks, blocks = max(1, -(-n // chunk)), max(1, -(-m // block))
     x = lambda c: c.cast("array<double>").alias("x")
+    asked = questions.select(F.col("query_id").cast("long").alias("id"), x(F.col("embedding"))).filter("x is not null")
+    held = vectors.select(F.col("vec_id").cast("long").alias("id"), x(F.col("embedding"))).filter("x is not null")
+    m, size = asked.agg(F.count("*"), F.coalesce(F.sum(F.size("x") * 8 + 64), F.lit(0))).first()
+    schema = "query_id long, vec_id long, score double"
+    if size <= sent_bytes:
+        rows = asked.toArrow()
+        q = unit_rows(rows.column("id").to_numpy(), rows.column("x").combine_chunks())
+        sent = vectors.sparkSession.sparkContext.broadcast(q)
+
+        def scan(batches):
+            best = _Best(sent.value, k, threshold)
+            for b in batches:
+                best.add(b.column(0).to_numpy(zero_copy_only=False), b.column(1))
+            yield best.rows()
+
+        return top_k(held.mapInArrow(scan, schema), ["query_id"], k, "vec_id")
+    n = held.count()
+    chunks, blocks = max(1, -(-n // chunk)), max(1, -(-m // block))
     grid = lambda upto: F.explode(F.sequence(F.lit(0), F.lit(upto - 1)))
-    v = vectors.select(F.col("vec_id").cast("long").alias("id"), x(F.col("embedding")), F.pmod(F.xxhash64("vec_id"), F.lit(chunks)).cast("int").alias("c"), grid(blocks).alias("b"))
-    q = questions.select(F.col("query_id").cast("long").alias("id"), x(F.col("embedding")), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("b"), grid(chunks).alias("c"))
-
-    def matrices(t: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-        """By length: ids and unit rows (zero rows stay zero)."""
-        out = {}
-        lists = t.column("x").combine_chunks()
-        ids = t.column("id").to_numpy()
-        sizes = np.array([-1 if s is None else s for s in pa.compute.list_value_length(lists).to_pylist()])
-        for d in set(sizes.tolist()) - {-1, 0}:
-            at = np.flatnonzero(sizes == d)
-            m = np.nan_to_num(lists.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, d))
-            norm = np.sqrt((m * m).sum(1, keepdims=True))
-            out[d] = ids[at], np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
-        return out
+    v = held.select("id", "x", F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int").alias("c"), grid(blocks).alias("b"))
+    q = asked.select("id", "x", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"), grid(chunks).alias("c"))
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        best = _Best(unit_rows(right.column("id").to_numpy(), right.column("x").combine_chunks()) if right.num_rows else {}, k, threshold)
+        if left.num_rows:
+            best.add(left.column("id").to_numpy(), left.column("x").combine_chunks())
+        return pa.Table.from_batches([best.rows()])
 
-    def best(left: pa.Table, right: pa.Table) -> pa.Table:
-        a, b = matrices(left), matrices(right)
-        qs, vs, ss = [], [], []
-        for d, (qid, qm) in b.items():
-            if d not in a:
-                continue
-            vid, vm = a[d]
-            s = np.round(qm @ vm.T, 6) + 0.0
-            for i in range(len(qid)):
-                order = np.lexsort((vid, -s[i]))[:k]
-                order = order[s[i][order] >= threshold]
-                qs.append(np.full(len(order), qid[i]))
-                vs.append(vid[order])
-                ss.append(s[i][order])
-        cat = lambda parts, t: pa.array(np.concatenate(parts) if parts else [], t)
-        return pa.table({"query_id": cat(qs, pa.int64()), "vec_id": cat(vs, pa.int64()), "score": cat(ss, pa.float64())})
-
-    part = v.groupBy("c", "b").cogroup(q.groupBy("c", "b")).applyInArrow(best, "query_id long, vec_id long, score double")
+    part = v.groupBy("c", "b").cogroup(q.groupBy("c", "b")).applyInArrow(meet, schema)
     return top_k(part, ["query_id"], k, "vec_id")
 
 
@@ -81,19 +117,78 @@ def nearest_text(vectors: DataFrame, questions: DataFrame, embedder, k: int = 10
     return nearest(vectors, embed(questions, embedder, "query_id", "text").withColumnRenamed("id", "query_id"), k, threshold)
 
 
-def embed(rows: DataFrame, embedder, key: str, text: str, batch: int = 100) -> DataFrame:
-    """key as id, embedding: texts are embedded in batches inside the partitions; a failing batch raises its task's error."""
+def embed(rows: DataFrame, embedder, key: str, text: str, batch: int = 100, delay: float = 0.0, failing: str = "raise") -> DataFrame:
+    """key as id, embedding: texts are embedded in batches inside the partitions.
+
+    A failing batch raises its task's error; with ``failing="skip"`` its rows get a null, and after an answer of 429 the rest of
+    the partition too, so that a backfill run again takes them up.
+    """
 
     def run(batches):
+        stopped = False
         for b in batches:
             for i in range(0, b.num_rows, batch):
                 part = b.slice(i, batch)
-                vecs = embedder.embed(part.column(1).to_pylist())
+                if stopped:
+                    vecs = [None] * part.num_rows
+                else:
+                    try:
+                        vecs = embedder.embed(part.column(1).to_pylist())
+                    except Exception as e:
+                        if failing != "skip":
+                            raise
+                        vecs, stopped = [None] * part.num_rows, getattr(e, "status", None) == 429
+                    if delay:
+                        time.sleep(delay)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(vecs, pa.list_(pa.float32()))], names=["id", "embedding"])
 
     return rows.select(F.col(key).cast("long").alias("id"), F.coalesce(text, F.lit("")).alias("text")).mapInArrow(run, "id long, embedding array<float>")
 
 
+def embedding_counts(embedded: DataFrame) -> DataFrame:
+    """One row: total, embedded, failed of what ``embed`` gives."""
+    return embedded.agg(F.count("*").alias("total"), F.count("embedding").alias("embedded"), (F.count("*") - F.count("embedding")).alias("failed"))
+
+
+class VectorIndex:
+    """Vectors kept as a table beside the signature of what they were read from: ``fresh`` tells whether that has changed."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.vectors, self.mark = Versioned(spark, f"{root}/vectors"), Versioned(spark, f"{root}/signature")
+
+    def build(self, source: DataFrame, most: int | None = None) -> DataFrame:
+        rows = source.filter("embedding is not null").select("vec_id", "embedding")
+        out = self.vectors.write(rows if most is None else first_vectors(rows, most))
+        self.mark.write(signature(source))
+        return out
+
+    def load(self) -> DataFrame | None:
+        return self.vectors.read()
+
+    def fresh(self, source: DataFrame) -> bool:
+        kept = self.mark.read()
+        return kept is not None and kept.first()[0] == signature(source).first()[0]
+
+    def get(self, source: DataFrame) -> DataFrame:
+        """The kept vectors if they are fresh, else newly built ones."""
+        return self.load() if self.fresh(source) else self.build(source)
+
+    def add(self, rows: DataFrame) -> DataFrame:
+        """With (vec_id, embedding) rows in place of those of their ids."""
+        rows = rows.select("vec_id", "embedding")
+        had = self.load()
+        return self.vectors.write(staged(rows if had is None else had.join(rows.select("vec_id"), "vec_id", "left_anti").unionByName(rows), "vectors"))
+
+    def remove(self, ids: DataFrame) -> DataFrame | None:
+        had = self.load()
+        return None if had is None else self.vectors.write(staged(had.join(ids.select("vec_id").distinct(), "vec_id", "left_anti"), "vectors"))
+
+    def clear(self) -> None:
+        had = self.load()
+        if had is not None:
+            self.vectors.write(had.limit(0))
+
+
 def first_vectors(vectors: DataFrame, most: int) -> DataFrame:
     """An index limited to its first ``most`` vectors, in order of their ids."""
     return vectors.orderBy("vec_id").limit(most)

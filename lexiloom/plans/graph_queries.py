@@ -75,9 +75,9 @@ def neighbours(spark: SparkSession, d: str) -> DataFrame:
     return graph.neighbours(_edges(spark, d), _entities(spark, d)).select("entity_id", "other_id", "other_name", "type", "direction")
 
 
-@query(f"""with {_ENTITIES}, n as (select source_id as entity_id, target_id as other_id, type, true as o from g union all select target_id, source_id, type, false from g),
-l as (select n.entity_id, o, n.type || ':' || name as l from n join e on e.entity_id = other_id)
-select e.entity_id, name, coalesce(string_agg(l, ',' order by l) filter (o), '') as outgoing, coalesce(string_agg(l, ',' order by l) filter (not o), '') as incoming, count(l) as n_edges from e left join l on l.entity_id = e.entity_id group by 1, 2""")
+@query(f"""with {_ENTITIES}, n as (select source_id as entity_id, target_id as other_id, type, 'outgoing' as direction from g union all select target_id, source_id, type, 'incoming' from g),
+l as (select n.entity_id, direction, n.type, other_id, name as other_name from n join e on e.entity_id = other_id)
+select e.entity_id, e.name, direction, l.type, other_id, other_name from e left join l on l.entity_id = e.entity_id""")
 def subgraph(spark: SparkSession, d: str) -> DataFrame:
     return graph.subgraph(_entities(spark, d), _edges(spark, d))
 

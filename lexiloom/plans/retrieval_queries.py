@@ -53,12 +53,12 @@ def corpus_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 @query(sql.search())
 def bm25_batch_search(spark: SparkSession, d: str) -> DataFrame:
-    return LexicalIndex.build(_docs(spark, d)).search(_items(spark, d), 10)
+    return LexicalIndex.build(_docs(spark, d), stem=False).search(_items(spark, d), 10)
 
 
 @query()
 def bm25_stemmed(spark: SparkSession, d: str) -> DataFrame:
-    return LexicalIndex.build(_docs(spark, d), stem=True).search(_items(spark, d), 10)
+    return LexicalIndex.build(_docs(spark, d)).search(_items(spark, d), 10)
 
 
 _EXPANDED = "select query_id * 2 + v as query_id, t as text from (select item_id as query_id, unnest([0, 1]) as v, unnest([text, substr(text, 1, 60)]) as t from benchmark)"
@@ -67,14 +67,14 @@ _EXPANDED = "select query_id * 2 + v as query_id, t as text from (select item_id
 @query(f"with {sql.search_ctes(questions=_EXPANDED)}, b as (select query_id // 2 as query_id, doc_id, max(score) as score from s where score > 0 group by 1, 2) {sql.ranked('b', 10)}")
 def bm25_expanded_max(spark: SparkSession, d: str) -> DataFrame:
     v = _items(spark, d).select("query_id", F.posexplode(F.array("text", F.substring("text", 1, 60))).alias("variation_id", "text"))
-    return LexicalIndex.build(_docs(spark, d)).search_expanded(v, 10)
+    return LexicalIndex.build(_docs(spark, d), stem=False).search_expanded(v, 10)
 
 
 @query(sql.search("select doc_id, case when doc_id % 3 = 0 then text || ' renewed' else text end as text from documents"))
 def bm25_upsert(spark: SparkSession, d: str) -> DataFrame:
     """An index of two thirds of the documents, then a third of them changed and the others added: equal to a rebuild."""
     docs = _docs(spark, d).select("doc_id", "text")
-    base = LexicalIndex.build(docs.filter("doc_id % 3 <> 1"))
+    base = LexicalIndex.build(docs.filter("doc_id % 3 <> 1"), stem=False)
     later = docs.filter("doc_id % 3 <> 2").withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit(" renewed"))).otherwise(F.col("text")))
     return base.upsert(later).search(_items(spark, d), 10)
 
@@ -82,7 +82,7 @@ def bm25_upsert(spark: SparkSession, d: str) -> DataFrame:
 @query(sql.search("select doc_id, text from documents where doc_id % 4 <> 3"))
 def bm25_remove(spark: SparkSession, d: str) -> DataFrame:
     docs = _docs(spark, d)
-    return LexicalIndex.build(docs).remove(docs.filter("doc_id % 4 = 3").select("doc_id")).search(_items(spark, d), 10)
+    return LexicalIndex.build(docs, stem=False).remove(docs.filter("doc_id % 4 = 3").select("doc_id")).search(_items(spark, d), 10)
 
 
 def _cosine_sql(k: int, threshold: float) -> str:
@@ -126,7 +126,7 @@ def missing_embeddings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _lexical(spark: SparkSession, d: str) -> DataFrame:
-    return staged(LexicalIndex.build(_docs(spark, d)).search(_items(spark, d), 20), "lexical-list")
+    return staged(LexicalIndex.build(_docs(spark, d), stem=False).search(_items(spark, d), 20), "lexical-list")
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:

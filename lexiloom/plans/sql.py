@@ -2,15 +2,60 @@
 
 from __future__ import annotations
 
-from lexiloom.functions.text import BM25_STOPWORDS, KEY_TERM_STOPWORDS
-
-
-def quoted(words) -> str:
-    return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
+# Fixed values, written out here again, so that an oracle does not take them from what it checks.
+INDEX_STOPWORDS = """
+    'a', 'all', 'also', 'an', 'and', 'are', 'as', 'at', 'be', 'been', 'both', 'but', 'by', 'can', 'could', 'did', 'do', 'does', 'each', 'every', 'few', 'for', 'from', 'had', 'has',
+    'have', 'he', 'here', 'how', 'i', 'in', 'is', 'it', 'its', 'just', 'may', 'might', 'more', 'most', 'must', 'need', 'no', 'nor', 'not', 'now', 'of', 'on', 'only', 'or', 'other',
+    'own', 'same', 'shall', 'she', 'should', 'so', 'some', 'such', 'than', 'that', 'the', 'there', 'these', 'they', 'this', 'those', 'to', 'too', 'very', 'was', 'we', 'were',
+    'what', 'when', 'where', 'which', 'who', 'why', 'will', 'with', 'would', 'you'
+"""
+TERM_STOPWORDS = """
+    'a', 'about', 'above', 'after', 'again', 'against', 'all', 'although', 'an', 'and', 'are', 'as', 'at', 'be', 'because', 'been', 'before', 'being', 'below', 'best', 'between',
+    'both', 'but', 'by', 'can', 'could', 'did', 'do', 'does', 'down', 'during', 'each', 'every', 'few', 'for', 'from', 'had', 'has', 'have', 'he', 'her', 'him', 'his', 'how', 'i',
+    'if', 'in', 'into', 'is', 'it', 'its', 'just', 'may', 'me', 'might', 'more', 'most', 'must', 'my', 'need', 'no', 'not', 'of', 'off', 'on', 'only', 'or', 'other', 'our', 'out',
+    'over', 'same', 'shall', 'she', 'should', 'so', 'some', 'such', 'than', 'that', 'the', 'their', 'them', 'these', 'they', 'this', 'those', 'through', 'to', 'too', 'under', 'up',
+    'very', 'was', 'way', 'we', 'were', 'what', 'when', 'where', 'which', 'while', 'who', 'whom', 'why', 'will', 'with', 'without', 'would', 'you', 'your'
+"""
+SECTION_NAMES = "'docs', 'api', 'en', 'latest', 'stable'"
+STOCK_OPENINGS = (
+    "Answer:", "Response:", "Here is", "Sure,", "Based on the context,", "According to the documentation,", "Steps:", "Explanation:", "Analysis:", "Location:",
+)
+MARKS = '.,!?;:\'"()[]{}/<>-_@#$%^&*+=~`|'
+UNSAFE = (
+    r"(?is)<script[^>]*>.*?</script>",
+    r"(?is)<style[^>]*>.*?</style>",
+    r"""(?i)\s+on\w+\s*=\s*[\"'][^\"']*[\"']""",
+    r"(?i)\s+on\w+\s*=\s*\S+",
+    r"(?i)javascript:",
+    r"""(?i)data:text/html[^\"'>\s]*""",
+)
+SUSPECT = (
+    (r"(?is)<script[^>]*>.*?</script>", "script block"),
+    (r"(?is)javascript:", "javascript url"),
+    (r"(?is)on\w+\s*=", "event handler"),
+    (r"(?is)data:text/html", "html data url"),
+)
+SWAPS = (
+    ("configure", "setup"), ("configure", "set up"),
+    ("setup", "configure"), ("setup", "set up"),
+    ("set up", "configure"), ("set up", "setup"),
+    ("install", "set up"), ("install", "deploy"),
+    ("error", "issue"), ("error", "problem"),
+    ("issue", "error"), ("issue", "problem"),
+    ("problem", "error"), ("problem", "issue"),
+    ("connect", "connection"), ("connect", "link"),
+    ("connection", "connect"), ("connection", "link"),
+    ("start", "begin"), ("start", "launch"),
+    ("stop", "halt"), ("stop", "terminate"),
+    ("create", "make"), ("create", "build"),
+    ("delete", "remove"), ("delete", "destroy"),
+    ("update", "modify"), ("update", "change"),
+    ("get", "retrieve"), ("get", "fetch"),
+)
 
 
 def bm25(text: str, stop: bool = True) -> str:
-    keep = f" and x not in ({quoted(BM25_STOPWORDS)})" if stop else ""
+    keep = f" and x not in ({INDEX_STOPWORDS})" if stop else ""
     split = rf"regexp_split_to_array(regexp_replace(lower(regexp_replace(regexp_replace(coalesce({text}, ''), '([a-z])([A-Z])', '\1 \2', 'g'), '[_-]', ' ', 'g')), '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '\s+')"
     return f"list_filter({split}, lambda x: x <> ''{keep})"
 
@@ -20,7 +65,7 @@ def general(text: str) -> str:
 
 
 def key_terms(text: str) -> str:
-    return f"list_filter({general(text)}, lambda x: x not in ({quoted(KEY_TERM_STOPWORDS)}) and length(x) > 1)"
+    return f"list_filter({general(text)}, lambda x: x not in ({TERM_STOPWORDS}) and length(x) > 1)"
 
 
 DOCS = "select doc_id, text from documents"

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiloom.functions import chunks, html, text, urls
-from lexiloom.operators import ingest, rollup
+from lexiloom.operators import answers, ingest, rollup
 from lexiloom.operators.understanding import checked_citations, question_type, variations
 from lexiloom.plans import sql
 from lexiloom.sources.store import table
@@ -44,7 +44,7 @@ def key_terms(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(text.key_terms(F.col("text")), " ").alias("terms"))
 
 
-_MARKS = "[" + "".join("\\" + c for c in text.ESTIMATE_PUNCTUATION).replace("'", "''") + "]"
+_MARKS = "[" + "".join("\\" + c for c in sql.MARKS).replace("'", "''") + "]"
 
 
 @query(rf"""
@@ -105,7 +105,7 @@ def clean_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _chain(expr: str) -> str:
-    for p in text.SANITIZE:
+    for p in sql.UNSAFE:
         flags, body = p[2 : p.index(")")], p[p.index(")") + 1 :].replace("'", "''")
         expr = f"regexp_replace({expr}, '(?{flags}){body}', '', 'g')"
     return expr
@@ -117,7 +117,7 @@ def sanitize_html(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", F.sha2(h, 256).alias("hash"), F.length(h).cast("long").alias("n_chars"))
 
 
-@query("select page_id, case " + " ".join(f"when regexp_matches(html, '{p}') then '{why}'" for p, why in text.SUSPICIOUS) + " end as reason from pages")
+@query("select page_id, case " + " ".join(f"when regexp_matches(html, '{p}') then '{why}'" for p, why in sql.SUSPECT) + " end as reason from pages")
 def suspicious_content(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", text.suspicious_reason(F.col("html")).alias("reason"))
 
@@ -159,7 +159,7 @@ _SYSTEM = rf"""
 select page_id, url, html, list_filter(string_split({_PATH.format(u='url')}, '/'), lambda s: s <> '') as seg,
   regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) as h from pages
 """
-_NAME = f"translate(case when len(seg) = 0 then h when seg[1] in ({sql.quoted(urls.SECTION_NAMES)}) then coalesce(seg[2], h) else seg[1] end, '-_', '  ')"
+_NAME = f"translate(case when len(seg) = 0 then h when seg[1] in ({sql.SECTION_NAMES}) then coalesce(seg[2], h) else seg[1] end, '-_', '  ')"
 _TITLE = r"array_to_string(list_transform(regexp_extract_all(lower({n}), '(\p{{L}}+|[^\p{{L}}]+)'), lambda p: upper(p[1:1]) || p[2:]), '')"
 _SYSTEMS = f"(select page_id, url, html, {_TITLE.format(n=_NAME)} as system from ({_SYSTEM}))"
 
@@ -225,7 +225,7 @@ def validate_citations(spark: SparkSession, d: str) -> DataFrame:
 
 def _answer(expr: str) -> str:
     out = f"trim({expr})"
-    for p in text.ANSWER_PREFIXES:
+    for p in sql.STOCK_OPENINGS:
         out = f"trim(regexp_replace({out}, '(?i)^{p}', ''))"
     return out
 
@@ -238,8 +238,9 @@ def answer_format(spark: SparkSession, d: str) -> DataFrame:
 
 #: User turns, and fixed questions that reach every rule.
 PHRASED = (
-    "How do I install it?", "What is a cache?", "Why is it not connecting?", "Where is the config file?", "Error when starting the service", "Tell me about caching",
-    "Find the API documentation", "redis configuration", "  ", "set up the connection and get updates", "Please locate the problem", "overview of replication",
+    "How are the nightly backups rotated?", "What is a tombstone?", "Why does the replica lag behind?", "Where are the audit trails kept?", "Crash while loading the second shard", "Tell me about leader election",
+    "Please find the glossary", "snapshot isolation levels", "  ", "set up the mirror and get the update log", "Locate the shard with the problem", "overview of the write path",
+    "explain quorum reads", "how to delete or create a topic", "start, stop and connect",
 )
 
 
@@ -264,9 +265,7 @@ def classify_questions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _expansion_sql() -> str:
-    from lexiloom.operators.understanding import SYNONYMS
-
-    swaps = ", ".join(f"case when contains(low, '{w}') then replace(low, '{w}', '{s}') end" for w, syns in SYNONYMS for s in syns)
+    swaps = ", ".join(f"case when contains(low, '{w}') then replace(low, '{w}', '{s}') end" for w, s in sql.SWAPS)
     return f"""
 with q as (select query_id, text, lower(text) as low, array_to_string({sql.key_terms('text')}, ' ') as terms from {_ASKED}),
 v as (select query_id, text, list_concat([text], list_filter([{swaps}], lambda x: x is not null and x <> low), list_filter([terms], lambda x: x <> '')) as every from q),
@@ -290,22 +289,90 @@ def page_summaries(spark: SparkSession, d: str) -> DataFrame:
 
 _ROLL = f"""
 with p as (select doc_id as page_id, source as system, lang as title, {_SUMMARY} as summary from documents),
-r as (select *, row_number() over (partition by system order by page_id) as n from p where summary <> ''),
-c as (select system, count(*) as n_pages from p group by 1),
-s as (select c.system, c.n_pages, substr(coalesce(string_agg('- ' || title || ': ' || summary, chr(10) order by n) filter (n <= 20), ''), 1, 400) as summary from c left join r on r.system = c.system group by 1, 2)
+r as (select system, page_id // 1000 as part, count(*) as n_pages, count(*) filter (summary <> '') as n_lines,
+  coalesce(string_agg('- ' || title || ': ' || summary, chr(10) order by page_id) filter (summary <> ''), '') as content from p group by 1, 2),
+s as (select system, sum(n_pages)::bigint as n_pages, sum(n_lines)::bigint as n_lines,
+  coalesce(string_agg(substr(trim(regexp_replace(substr(content, 1, 5000), '\\s+', ' ', 'g')), 1, 120), chr(10) order by part) filter (content <> ''), '') as summary from r group by 1)
 """
 
 
-def _systems(spark: SparkSession, d: str) -> DataFrame:
+def _system_parts(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("page_id"), F.col("source").alias("system"), F.col("lang").alias("title"), "text")
     return rollup.system_rollup(rollup.page_summaries(docs))
 
 
-@query(_ROLL + " select system, n_pages, summary from s")
+@query(_ROLL + " select system, part, n_pages, n_lines, content from r")
 def system_rollup(spark: SparkSession, d: str) -> DataFrame:
-    return _systems(spark, d)
+    return _system_parts(spark, d)
+
 
+@query(_ROLL + " select system, n_pages, n_lines, summary from s")
+def system_summaries(spark: SparkSession, d: str) -> DataFrame:
+    return rollup.system_summaries(_system_parts(spark, d))
 
-@query(_ROLL + ", t as (select '- ' || system || ': ' || substr(summary, 1, 80) as l, system from s order by system limit 100) select (select count(*) from s) as n_systems, (select sum(n_pages)::bigint from s) as n_pages, substr((select string_agg(l, chr(10) order by system) from t), 1, 2000) as content")
+
+@query(_ROLL + " select count(*) as n_systems, sum(n_pages)::bigint as n_pages, coalesce(string_agg('- ' || system || ': ' || summary, chr(10) order by system) filter (summary <> ''), '') as content from s")
 def global_rollup(spark: SparkSession, d: str) -> DataFrame:
-    return rollup.global_rollup(_systems(spark, d))
+    return rollup.global_rollup(rollup.system_summaries(_system_parts(spark, d)))
+
+
+# -- answers: questions are the benchmark passages, chunks the documents whose ids follow the question's
+
+_CHUNKS = "select item_id as query_id, text as question, item_id % 11 / 10.0::double as confidence, (select list({'id': doc_id, 'content': d.text, 'source': source} order by doc_id) from documents d where d.doc_id between item_id and item_id + item_id % 5 - 1) as chunks from benchmark"
+
+
+def _answerable(spark: SparkSession, d: str) -> DataFrame:
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"), (F.col("item_id") % 11 / F.lit(10.0)).alias("confidence"))
+    wanted = items.select("query_id", F.explode(F.when(F.col("query_id") % 5 > 0, F.sequence(F.col("query_id"), F.col("query_id") + F.col("query_id") % 5 - 1))).alias("doc_id"))
+    found = wanted.join(table(spark, d, "documents").select("doc_id", "text", "source"), "doc_id")
+    lists = found.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(F.col("doc_id").alias("id"), F.col("text").alias("content"), "source"))).alias("chunks"))
+    return items.join(lists, "query_id", "left")
+
+
+_SHOWN = "list_transform(chunks[1:3], lambda c: '[CHUNK:' || c.id || '] \"' || case when length(c.content) > 200 then substr(c.content, 1, 200) || '...' else coalesce(c.content, '') end || '\"' || chr(10) || 'Source: ' || coalesce(nullif(c.source, ''), 'unknown'))"
+_PASSAGES = f"case when coalesce(len(chunks), 0) > 0 then 'There is no exact answer, but these passages come closest:' || chr(10) || chr(10) || array_to_string({_SHOWN}, chr(10) || chr(10)) || chr(10) || chr(10) || 'The answer may stand in one of these sections.' else 'Nothing relevant was found. Try other words, or look into the documentation itself.' end"
+
+
+@query(f"select query_id, {_PASSAGES} as answer from ({_CHUNKS})")
+def answer_passages(spark: SparkSession, d: str) -> DataFrame:
+    return _answerable(spark, d).select("query_id", answers.passages_answer(F.col("chunks")).alias("answer"))
+
+
+@query(r"""
+with w as (select query_id, list_filter(regexp_extract_all(text, '[\p{L}\p{N}_]{3,}'), lambda x: lower(x) not in ('what', 'how', 'where', 'when', 'why', 'the', 'and', 'for')) as w from """ + _ASKED + r""")
+select query_id, case when len(w) > 0 then 'There is not enough information about ' || array_to_string(w[1:2], ' ') || '. Try other or more specific words.' else 'There is not enough information. Try asking about a specific topic.' end as answer from w
+""")
+def answer_fallback(spark: SparkSession, d: str) -> DataFrame:
+    return _questions(spark, d).select("query_id", answers.fallback_answer(F.col("text")).alias("answer"))
+
+
+class _Citing:
+    """A stand-in for a model: cites the first chunk it is shown and one that there is not."""
+
+    def complete(self, prompt: str, system: str | None = None) -> str:
+        return f" see {prompt[prompt.index('[CHUNK:'):].split(']')[0]}] and [CHUNK:-5], [CHUNK:999999999] "
+
+
+@query(f"""
+with c as ({_CHUNKS}), p as (select *, confidence < 0.3 or coalesce(len(chunks), 0) = 0 as used_fallback from c)
+select query_id, used_fallback, case when used_fallback then {_PASSAGES} else 'see [CHUNK:' || chunks[1].id || '] and [CHUNK:-5], [CHUNK:999999999]' end as answer,
+  case when used_fallback then 0 else 1 end as n_valid, case when used_fallback then 0 else 1 end as n_invalid, used_fallback as is_valid from p""")
+def answers_grounded(spark: SparkSession, d: str) -> DataFrame:
+    out = answers.grounded(_answerable(spark, d), _Citing())
+    return out.select("query_id", "used_fallback", "answer", F.size("valid_citations").alias("n_valid"), F.size("invalid_citations").alias("n_invalid"), "is_valid")
+
+
+@query("""
+select item_id as query_id, case item_id % 6 when 0 then 'State the fact asked for, briefly.' when 1 then 'Give the steps in order, numbered.' when 2 then 'Name the likely cause, then how to mend it.'
+  when 3 then 'Say where it is to be found, with the section or address.' when 4 then 'Give an overview of the main points.' else 'Answer clearly and completely.' end as style,
+  sha256('Use only the context below. ' || style || chr(10) || chr(10) || 'Context:' || chr(10) || text || chr(10) || chr(10) || 'Question: q' || chr(10) || chr(10) || 'Answer:') as prompt_hash from benchmark""")
+def answer_prompts(spark: SparkSession, d: str) -> DataFrame:
+    kinds = F.array(*[F.lit(t) for t in answers.TYPES], F.lit("other"))
+    kind = F.element_at(kinds, (F.col("item_id") % 6 + 1).cast("int"))
+    styles = F.element_at(F.array(*[F.lit(answers.STYLES.get(t, answers.STYLES["default"])) for t in (*answers.TYPES, "other")]), (F.col("item_id") % 6 + 1).cast("int"))
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), styles.alias("style"), F.sha2(answers.answer_prompt(F.lit("q"), F.col("text"), kind), 256).alias("prompt_hash"))
+
+
+@query("select conv_id, turn, case when length(text) = 0 then 'The question is empty' when length(text) > 100 then 'The question is longer than 100 characters' end as problem from conversations")
+def query_length(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "conversations").select("conv_id", "turn", text.query_problem(F.col("text"), 100).alias("problem"))

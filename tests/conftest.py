@@ -5,7 +5,8 @@ import pytest
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
-os.environ["PYTHONPATH"] = ROOT
+os.environ["PYTHONPATH"] = os.pathsep.join((ROOT, os.path.dirname(os.path.abspath(__file__))))  # workers import both
+os.environ.setdefault("OMP_NUM_THREADS", "1")  # workers share the cores
 
 
 @pytest.fixture(scope="session")
