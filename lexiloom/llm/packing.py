@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from lexiloom.llm.common import buckets_for, running_start, small_batches, written
-from lexiloom.llm.tokens import default_path, word_tokens
+from lexiloom.llm.common import bounded_batches, buckets_for, held, running_start, slices, written
+from lexiloom.llm.tokens import IdTokens, default_path
 
 _CUT = pa.schema(
     [("doc_id", pa.int64()), ("part", pa.int32()), ("rank", pa.int64()), ("bin", pa.int32()), ("row", pa.int64()), ("start", pa.int64()),
@@ -46,11 +46,11 @@ def cut_documents(docs: DataFrame, window: int, bin_tokens: int, end_id: int, to
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, part = word_tokens(tokenizer_path), TaskContext.get().partitionId()
+        t, part = held(f"ids {tokenizer_path}", lambda: IdTokens(tokenizer_path)), TaskContext.get().partitionId()
         ranks: dict[int, int] = {}
         row = 0
         end = int(end_id).to_bytes(4, "little")
-        for b in batches:
+        for b in slices(batches, 256):
             out: list[list] = [[] for _ in _CUT]
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 raw = t.text_ids(text or "") + end
@@ -64,7 +64,7 @@ def cut_documents(docs: DataFrame, window: int, bin_tokens: int, end_id: int, to
                         c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _CUT)], schema=_CUT)
 
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(cut, CUT_SCHEMA)
 
 

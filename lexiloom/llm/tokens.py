@@ -4,7 +4,8 @@ A text is normalised (NFC, lower case) and cut into words as the file's own patt
 a prefix of the text costs the words before it and the prefix of one word. Inside a word, dynamic programming over its
 prefixes keeps for each the last token of its encoding: the token ``t`` that ends there and may follow the last token
 of the prefix before ``t`` (two tokens may stand side by side if encoding their joint string gives just these two).
-Nothing is encoded twice: prefixes that words share are kept, and a word seen before costs one look-up.
+Nothing is encoded twice: prefixes that words share are kept, and a word seen before costs one look-up. What is kept is
+bounded by bytes. A word of any length takes memory in proportion to its length; those of more than 48 bytes are not kept.
 
 The table kept for a text has one signed byte for each of its code points: by how many tokens the count changes there.
 Its running sum is the exact token count at every prefix; truncation and budget questions read it and nothing else.
@@ -12,29 +13,30 @@ Its running sum is the exact token count at every prefix; truncation and budget
 Defined results: null and empty texts have no prefix and 0 tokens. In a text that is not in NFC or whose lower case
 has another length, prefixes are counted at the ends of grapheme clusters (a position inside one has the count before
 it), and inside the file's special strings, where they stand in a text, likewise. Repeated rows are counted each;
-columns other than ``doc_id`` and the text are dropped by ``prefix_table``; an empty table gives an empty one.
+columns other than ``doc_id`` and ``text`` are dropped by ``prefix_table``, whatever their names; an empty table gives an
+empty one.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import sys
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lexiloom.llm.common import small_batches
+from lexiloom.llm.common import bounded_batches, held, slices
 
 _WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
 
 def _other_numbers() -> str:
     """A character class of the numbers that are no decimal digits: ``\\w`` holds them, but they are no letters."""
-    import sys
-
     cps = [i for i in range(sys.maxunicode + 1) if unicodedata.category(chr(i)) in ("Nl", "No")]
     runs: list[list[int]] = []
     for i in cps:
@@ -58,16 +60,30 @@ def _byte_chars() -> list[str]:
     return out
 
 
-class WordTokens:
-    """Words and their tokens, for one tokenizer file; lives in a worker process."""
+class Words:
+    """How a tokenizer file cuts a text into words: its special strings, then its pattern."""
+
+    def __init__(self, spec: dict):
+        self.special = [t["content"] for t in spec["added_tokens"] if t["special"]]
+        self.special_ids = {t["content"]: t["id"] for t in spec["added_tokens"] if t["special"]}
+        self.special_parts = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
+        num = _other_numbers()
+        self.words = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[^\\W\\d_{num}]+|[\\d{num}]|(?:[^\\w{_WS}]++|_)++")
+
+    def has_special(self, text: str) -> bool:
+        return any(s in text for s in self.special)
+
+
+class WordTokens(Words):
+    """Words and the tokens at each of their prefixes, for one tokenizer file; lives in a worker process."""
 
-    #: So many words and prefixes are kept at most; then the tables start anew.
-    LIMIT = 400_000
+    #: Bytes of words and prefixes that are kept at most, about; then the tables start anew.
+    LIMIT = 96 << 20
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.path = path
+        super().__init__(spec)
         self.end = spec["model"]["end_of_word_suffix"]
         self.vocab: dict[str, int] = spec["model"]["vocab"]
         merges = [tuple(m.split(" ", 1)) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
@@ -79,8 +95,6 @@ class WordTokens:
                 self.number[x + y] = i
                 self.parts[x + y] = (x, y)
         self.made = {m: self.number[m[0] + m[1]] for m in merges}
-        self.special = [t["content"] for t in spec["added_tokens"] if t["special"]]
-        self.special_ids = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.longest = max(map(len, self.vocab))
         # what may stand as a token: inside a word (1), at its end (2), or both (3)
         self.kinds = dict.fromkeys((t for t in self.vocab if not t.endswith(self.end)), 1)
@@ -88,9 +102,6 @@ class WordTokens:
             if t.endswith(self.end):
                 t = t[: -len(self.end)]
                 self.kinds[t] = self.kinds.get(t, 0) | 2
-        num = _other_numbers()
-        words = f"'s|'t|'re|'ve|'m|'ll|'d|[^\\W\\d_{num}]+|[\\d{num}]|(?:[^\\w{_WS}]++|_)++"
-        self.words = re.compile(words)
         self.chars = _byte_chars()
         self.pairs: dict[tuple[str, str], bool] = {}
         # by prefix of a word, in stand-ins: last token and count of tokens inside a word; the count where the word ends
@@ -98,12 +109,16 @@ class WordTokens:
         self.states: dict[str, tuple[str, int, int, bytes, int, int]] = {}
         self.lacks = {c: 0 if b < 0xC0 else 1 if b < 0xE0 else 2 if b < 0xF0 else 3 for b, c in enumerate(self.chars)}
         self.deltas: dict[str, bytes] = {}
-        self.ids: dict[str, bytes] = {"": b""}
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.ends = np.zeros(max([*self.vocab.values(), *self.special_ids.values()]) + 1, bool)
-        self.ends[[i for t, i in self.vocab.items() if t.endswith(self.end)]] = True
+        self.held_bytes = 0
+
+    def make_room(self, n: int) -> None:
+        """Called for every entry of ``n`` bytes that is about to be kept."""
+        self.held_bytes += n
+        if self.held_bytes > self.LIMIT:
+            self.states.clear()
+            self.deltas.clear()
+            self.pairs.clear()
+            self.held_bytes = n
 
     def fits(self, left: str, right: str) -> bool:
         """Whether ``right`` may follow ``left``: no merge across their border comes before those that made them.
@@ -116,8 +131,7 @@ class WordTokens:
         key = (left, right)
         if (known := self.pairs.get(key)) is not None:
             return known
-        if len(self.pairs) > 2 * self.LIMIT:
-            self.pairs.clear()
+        self.make_room(200)
         number, parts, made, limit = self.number, self.parts, self.made, 1 << 60
         while True:
             if made.get((left, right), limit) < limit:
@@ -147,17 +161,16 @@ class WordTokens:
     def word_deltas(self, word: str) -> bytes:
         """For each code point of a word, the change of the token count of the prefix that ends there."""
         s = self.symbols(word)
+        if len(s) > 48:  # prefixes of long words are not kept: together they would grow with the square of the length
+            return self.long_deltas(s)
         states = self.states
         if (state := states.get(s)) is not None:
             return state[3]
-        if len(s) > 48:  # its prefixes are not kept: together they would grow with its length squared
-            states = {}
-        elif len(states) > self.LIMIT:
-            states.clear()
         n = k = len(s)
+        self.make_room(n * (300 + n))
         path: list = [None] * (n + 1)
         path[0] = state = ("", 0, 0, b"", 0, 0)
-        while k > 1 and n <= 48:
+        while k > 1:
             k -= 1
             if (known := states.get(s[:k])) is not None:
                 path[k] = state = known
@@ -187,11 +200,34 @@ class WordTokens:
                     break
             need = need - 1 if need else lacks[s[k - 1]]
             state = (last, inner, final, state[3], state[4], need) if need else (last, inner, final, state[3] + bytes([(final - state[4]) & 255]), final, 0)
-            path[k] = state
-            if n <= 48:
-                states[s[:k]] = state
+            path[k] = states[s[:k]] = state
         return state[3]
 
+    def long_deltas(self, s: str) -> bytes:
+        """As above, of a word of any length: by place only the last token and the count, and one table that grows."""
+        kinds, end, longest, fits, lacks = self.kinds, self.end, self.longest, self.fits, self.lacks
+        lasts, inners, out, counted, need = [""], array("q", [0]), bytearray(), 0, 0
+        for k in range(1, len(s) + 1):
+            last, inner, final = "", 0, 0
+            need = need - 1 if need else lacks[s[k - 1]]
+            for j in range(max(0, k - longest), k):
+                kind = kinds.get(s[j:k])
+                if kind is None:
+                    continue
+                left = lasts[j]
+                if kind != 2 and not last and fits(left, s[j:k]):
+                    last, inner = sys.intern(s[j:k]), inners[j] + 1
+                if kind != 1 and not final and not need and fits(left, s[j:k] + end):
+                    final = inners[j] + 1
+                if last and (final or need):
+                    break
+            lasts.append(last)
+            inners.append(inner)
+            if not need:
+                out.append((final - counted) & 255)
+                counted = final
+        return bytes(out)
+
     def chunk_deltas(self, chunk: str) -> bytes:
         """Of a part of a normalised text between two blanks; other white space may stand in it."""
         if chunk.isalpha():
@@ -203,8 +239,7 @@ class WordTokens:
                 at = m.end()
             d = b"".join(out) + bytes(len(chunk) - at)
         if len(chunk) <= 64:
-            if len(self.deltas) > self.LIMIT:
-                self.deltas.clear()
+            self.make_room(200 + 2 * len(d))
             self.deltas[chunk] = d
         return d
 
@@ -220,9 +255,9 @@ class WordTokens:
 
     def text_deltas(self, text: str) -> bytes:
         """The table of a text: a signed byte for each code point."""
-        if any(s in text for s in self.special):
+        if self.has_special(text):
             out = []
-            for part in re.split("(" + "|".join(map(re.escape, self.special)) + ")", text):
+            for part in self.special_parts.split(text):
                 out.append(bytes(len(part) - 1) + b"\x01" if part in self.special_ids else self.plain_deltas(part))
             return b"".join(out)
         return self.plain_deltas(text)
@@ -258,7 +293,25 @@ class WordTokens:
                     out[i] = known(chunks[i]) or make(chunks[i])
         return b"\0".join(out)
 
-    # -- whole encodings, for packing
+
+class IdTokens(Words):
+    """Whole encodings, for packing: the library's ids, and those of words seen before from a table."""
+
+    #: Bytes of the table at most, about; words beyond it are encoded each time.
+    LIMIT = 32 << 20
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        super().__init__(spec)
+        end, vocab = spec["model"]["end_of_word_suffix"], spec["model"]["vocab"]
+        self.library = Tokenizer.from_file(path)
+        self.ends = np.zeros(max([*vocab.values(), *self.special_ids.values()]) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith(end)]] = True
+        self.ids: dict[str, bytes] = {"": b""}
+        self.held_bytes = 0
 
     def make_ids(self, chunks: list[str]) -> list[bytes]:
         """Ids of parts of a text between blanks: one call of the library (without offsets), cut after the tokens that end a word."""
@@ -269,15 +322,15 @@ class WordTokens:
             was = at
             at += 1 if c.isalpha() else len(self.words.findall(c))
             out.append(raw[ends[was] : ends[at]])
-            if len(c) <= 64 and len(known) < self.LIMIT:
+            if len(c) <= 64 and self.held_bytes < self.LIMIT:
                 known[c] = out[-1]
+                self.held_bytes += 200 + len(c) + len(out[-1])
         return out
 
     def text_ids(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers."""
-        if any(s in text for s in self.special):
-            parts = re.split("(" + "|".join(map(re.escape, self.special)) + ")", text)
-            return b"".join(self.special_ids[x].to_bytes(4, "little") if x in self.special_ids else self.text_ids(x) for x in parts)
+        if self.has_special(text):
+            return b"".join(self.special_ids[x].to_bytes(4, "little") if x in self.special_ids else self.text_ids(x) for x in self.special_parts.split(text))
         text = unicodedata.normalize("NFC", text)
         low = "".join(c.lower() for c in text) if "Σ" in text else text.lower()
         chunks = low.replace("\n", " ").split(" ")
@@ -289,15 +342,6 @@ class WordTokens:
         return b"".join(out)
 
 
-_loaded: dict[str, WordTokens] = {}
-
-
-def word_tokens(path: str) -> WordTokens:
-    if path not in _loaded:
-        _loaded[path] = WordTokens(path)
-    return _loaded[path]
-
-
 def default_path() -> str:
     import public_tokenizers
 
@@ -310,11 +354,11 @@ PREFIX_SCHEMA = "doc_id long, n_bytes long, n_tokens long, prefix_deltas binary"
 def prefix_table(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
     """doc_id, n_bytes (UTF-8), n_tokens (of the whole text), prefix_deltas (see above), by document."""
     path = tokenizer_path or default_path()
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = word_tokens(path)
-        for b in batches:
+        t = held(f"word tokens {path}", lambda: WordTokens(path))
+        for b in slices(batches, 512):
             texts = [x or "" for x in b.column(1).to_pylist()]
             tables = [t.text_deltas(x) for x in texts]
             yield pa.RecordBatch.from_arrays(
