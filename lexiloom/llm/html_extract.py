@@ -1,222 +1,273 @@
 """Main text of web pages by tag-path ratios.
 
-A page is read into text nodes, each with its path of block elements from the root (inline markup adds no step). Over
-all nodes of a path, text length and punctuation are added up and set against the number of tags opened there: long,
-punctuated text under few tags is content, short labels under many links are not. The two ratios are smoothed over
-neighbouring paths in page order, fused by their product, and thresholded; the content paths by weight of text choose
-the element that holds the article. Its blocks are the result, without those in elements of other kinds (navigation,
-headers, footers, asides, forms, adverts, notices, comments: by tag, role, class and id).
+A page is read into text nodes, each with its path of block elements from the root (inline markup adds no step; a step is
+a tag with its class, id and role, numbers left out). Over all nodes of a path, text length and punctuation are added up
+and divided by the number of nodes there: long, punctuated text is content, short labels and linked words are not (linked
+text adds no length). The logarithms of both ratios are added; the sum is smoothed over the path tree, by the paths that
+have text of their own beside it, beside its parent and so on up, so that a heading or a list in an article gains from the
+paragraphs next to it; and it is fused with what the steps' tags, roles and names are worth (``STEP_WORTH``,
+``NAME_WORTH``: an article adds, navigation, footers, forms, asides, comments and adverts take away). Paths whose score
+reaches ``threshold`` times the page's level (the mean over its text, without navigation and the like; an article raises
+it by ``LEVEL_SHARE`` of its worth, which sets other text back) are content, and all blocks on them, in page order, are the result. The threshold decides on every page: at 0 all text stays, at a
+large one none.
 
 Defined results: null and empty pages, and pages without text, give the empty string; unclosed elements end where their
-parent or a like element begins or ends; a page that ends within a tag or comment loses that tag only; character
-references are decoded, unfinished ones stay text; pages of any size are read in one pass; further columns are dropped.
+parent or a like element begins or ends; a page that ends within a tag or comment loses that tag only; a quote that is
+never closed is a letter of its tag; character references are decoded, unfinished ones stay text; repeated rows are read
+each; further columns are dropped. Time and memory grow in proportion to a page: paths are interned, what a closing tag
+can close is known from counts, and a failed match is not tried again.
 """
 
 from __future__ import annotations
 
+import functools
 import html as _html
+import math
 import re
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lexiloom.llm.common import small_batches
+from lexiloom.llm.common import bounded_batches, slices
 
-_TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>\x00]*)([^\"'>]*+(?:\"[^\"]*\"|'[^']*'|[^'\">]|[\"'](?=[^>]*>))*)>|<(?=[a-zA-Z/])[^<>]*\Z", re.S)
-_ATTR = re.compile(r"""(class|id|role|hidden|itemprop|aria-hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>\x00]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)>""")
+_PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>\x00]*+)([^>]*+)>")
+_ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|itemprop)\b\s*+(?:=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++))?""", re.I)
+_NAME = re.compile(r"[a-z]+")
+_CAMEL = re.compile(r"([a-z])([A-Z])")
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "xmp", "iframe", "noembed", "noframes", "svg", "math", "object", "select", "canvas", "audio", "video"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var label wbr img".split())
-DROP_TAGS = {"nav", "footer", "aside", "form", "head", "menu", "dialog", "button", "fieldset", "datalist"}
-DROP_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "menu", "menubar", "dialog", "alertdialog", "alert", "form", "toolbar", "status"}
-_DROP_WORDS = {
-    "ad", "ads", "adv", "advert", "advertisement", "adverts", "advertising", "adsense", "banner", "sponsor", "sponsored", "promo", "promotion", "promoted", "nav", "navbar",
-    "navigation", "menu", "breadcrumb", "breadcrumbs", "footer", "sidebar", "side", "aside", "rail", "widget", "widgets", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "popup",
-    "modal", "overlay", "newsletter", "subscribe", "signup", "subscription", "share", "sharing", "social", "related", "recommended", "recommendations", "comment", "comments", "commentlist",
-    "disqus", "respond", "replies", "reply", "login", "search", "pagination", "pager", "toolbar", "copyright", "masthead", "topbar", "skip", "alert", "toc", "tags", "taglist",
-}
-_DROP_IN_ARTICLE = {"ad", "ads", "advert", "comment", "comments", "promo", "related", "reply", "sidebar", "sponsored", "widget"}
-#: Closing of elements that a like one or a block ends.
+#: What a step is worth by its tag, its role, and the words in its class and id; natural logarithms, added along a path.
+ARTICLE_WORTH, LEVEL_SHARE = 9.0, 2 / 3
+STEP_WORTH = {"article": ARTICLE_WORTH, "main": ARTICLE_WORTH, "nav": -10.0, "footer": -10.0, "aside": -10.0, "form": -10.0, "head": -10.0, "menu": -10.0, "dialog": -10.0, "button": -10.0, "fieldset": -10.0, "datalist": -10.0, "header": -10.0}
+ROLE_WORTH = dict.fromkeys(
+    ("navigation", "banner", "contentinfo", "complementary", "search", "menu", "menubar", "dialog", "alertdialog", "alert", "form", "toolbar", "status"), -10.0
+)
+NAME_WORTH = dict.fromkeys(
+    (
+        "ad", "ads", "advert", "advertisement", "adverts", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disqus", "footer",
+        "login", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pagination", "popup", "promo", "promoted", "related", "replies", "reply", "respond",
+        "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "topbar", "widget", "widgets",
+    ), -10.0,
+)
+HIDDEN_WORTH = -20.0
+#: Elements that a new paragraph ends, or that end one; bits of the elements that a like one ends, and where that stops.
 _ENDS_P = set("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
-_LIKE = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}),
-         "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "tbody": ({"tr", "td", "th", "thead", "tbody"}, {"table"}), "tfoot": ({"tr", "td", "th", "tbody"}, {"table"})}
+_BITS = {t: 1 << i for i, t in enumerate(("p", "li", "dt", "dd", "td", "th", "tr", "thead", "tbody", "option"))}
+_ENDS = {
+    "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th"),
+    "tbody": ("tr", "td", "th", "thead", "tbody"), "tfoot": ("tr", "td", "th", "tbody"), "option": ("option",),
+}
+_ENDED = {t: sum(_BITS[x] for x in xs) for t, xs in _ENDS.items()}
+_FENCED = {"ul": ("li",), "ol": ("li",), "menu": ("li",), "dl": ("dt", "dd"), "table": ("p", "td", "th", "tr", "thead", "tbody"), "td": ("p",), "th": ("p",), "button": ("p",), "select": ("option",)}
+_OPEN_BELOW = {t: ~sum(_BITS[x] for x in xs) for t, xs in _FENCED.items()}
 _PUNCT = re.compile(r"[.,;:!?…。，、！？»“”]")
 _SPACE = re.compile(r"\s+")
+#: Weights of a path's own ratio, of those beside it, beside its parent and so on; lengths and marks at which ratios level off.
+NEAR = (0.3, 0.4, 0.2, 0.1, 0.1, 0.1, 0.1)
+LONG, RICH = 200.0, 10.0
+
+
+@functools.lru_cache(maxsize=64)
+def _closing(tag: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(tag)}\s*>", re.I)
+
+
+class Path:
+    """A step of the path tree; equal steps under one parent are one."""
+
+    __slots__ = ("parent", "worth", "article", "steps", "chars", "linked", "marks", "nodes", "content")
+
+    def __init__(self, parent: Path | None, worth: float, article: bool):
+        self.parent, self.worth, self.article = parent, worth, article
+        self.steps: dict[str, Path] = {}
+        self.chars = self.linked = self.marks = self.nodes = 0
+        self.content = False
+
+    def step(self, tag: str, attrs: str) -> Path:
+        marks = sorted({(m[1].lower(), _CAMEL.sub(r"\1 \2", (m[2] or "").strip("\"'"))) for m in _ATTR.finditer(attrs)}) if attrs else []
+        words = {(name, w) for name, value in marks for w in (_NAME.findall(value.lower()) or [""])}
+        label = tag + "".join(f" {name}.{w}" for name, w in sorted(words))
+        known = self.steps.get(label)
+        if known is None:
+            article = tag in ("article", "main") or ("role", "main") in words or ("role", "article") in words or ("itemprop", "article") in words
+            if article:
+                worth = 0.0 if self.article else ARTICLE_WORTH
+            else:
+                worth = 0.0 if tag == "header" and self.article else STEP_WORTH.get(tag, 0.0)
+            if tag not in ("html", "body", "main"):
+                worth += min([(ROLE_WORTH if name == "role" else NAME_WORTH).get(w, 0.0) for name, w in words if name in ("role", "class", "id")], default=0.0)
+            if any(name == "hidden" or (name, w) == ("aria-hidden", "true") for name, w in words):
+                worth += HIDDEN_WORTH
+            known = self.steps[label] = Path(self, self.worth + worth, self.article or article)
+        return known
+
+    @property
+    def ratio(self) -> float:
+        """Logarithms of unlinked text and of punctuation by node, added; both level off where a node is long anyway."""
+        text, marks = (self.chars - self.linked) / self.nodes, self.marks / self.nodes
+        return math.log1p(text * LONG / (text + LONG)) + math.log1p(marks * RICH / (marks + RICH))
 
 
 class _Element:
-    __slots__ = ("tag", "parent", "path", "dropped", "kind", "depth", "opened")
-
-    def __init__(self, tag: str, parent: _Element | None, dropped: bool, kind: str):
-        self.tag, self.parent, self.dropped, self.kind = tag, parent, dropped, kind
-        self.path = (parent.path if parent else "") + "/" + tag
-        self.depth = parent.depth + 1 if parent else 0
-        self.opened = 0  # inline tags within
-
-
-def _dropped(tag: str, attrs: str, inside_article: bool) -> bool:
-    if tag in DROP_TAGS or tag == "header" and not inside_article:
-        return True
-    if not attrs:
-        return False
-    for m in _ATTR.finditer(attrs):
-        name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-        if name == "role" and value in DROP_ROLES:
-            return True
-        if name in ("class", "id") and tag not in ("html", "body", "main") and (_DROP_IN_ARTICLE if tag == "article" else _DROP_WORDS) & set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", m[2] or "").lower())):
-            return True
-    return False
-
-
-def text_nodes(page: str) -> list[tuple[int, _Element, str]]:
-    """Blocks in page order: (number of the block, its element, raw text of a node in it)."""
-    root = _Element("", None, False, "")
-    stack, nodes, block, at, n = [root], [], 0, 0, len(page)
-    while at <= n:
+    __slots__ = ("tag", "path", "open")
+
+    def __init__(self, tag: str, path: Path, open_: int):
+        self.tag, self.path, self.open = tag, path, open_
+
+
+def text_nodes(page: str) -> tuple[Path, list[tuple[int, Path, str, bool]]]:
+    """The root of the path tree, and in page order: (number of the block, its path, raw text of a node in it, linked)."""
+    root = Path(None, 0.0, False)
+    stack = [_Element("", root, 0)]
+    opened: dict[str, int] = {}
+    nodes: list[tuple[int, Path, str, bool]] = []
+    block = at = links = 0
+    n, tag_at = len(page), _TAG
+
+    def pop_to(i: int) -> None:
+        for e in stack[i:]:
+            opened[e.tag] -= 1
+        del stack[i:]
+
+    def end(bits: int) -> None:
+        """Ends the elements of these kinds that are open here."""
+        while stack[-1].open & bits:
+            i = len(stack) - 1
+            while not _BITS.get(stack[i].tag, 0) & bits:
+                i -= 1
+            pop_to(i)
+
+    while at < n:
         lt = page.find("<", at)
-        m = _TOKEN.match(page, lt) if lt >= 0 else None
-        if lt >= 0 and m is None:  # a bare sign is text
-            nodes.append((block, stack[-1], page[at : lt + 1]))
+        if lt < 0:
+            nodes.append((block, stack[-1].path, page[at:], links > 0))
+            break
+        nxt = page[lt + 1 : lt + 2]
+        if nxt == "!" or nxt == "?":
+            if lt > at:
+                nodes.append((block, stack[-1].path, page[at:lt], links > 0))
+            if page.startswith("<!--", lt):
+                close = page.find("-->", lt + 4)
+                at = n if close < 0 else close + 3
+            else:
+                close = page.find(">", lt)
+                at = n if close < 0 else close + 1
+            continue
+        if not (nxt.isascii() and nxt.isalpha() or nxt == "/" and page[lt + 2 : lt + 3].isalpha()):  # a bare sign is text
+            nodes.append((block, stack[-1].path, page[at : lt + 1], links > 0))
             at = lt + 1
             continue
-        upto = m.start() if m else n
-        if upto > at:
-            nodes.append((block, stack[-1], page[at:upto]))
-        if not m:
-            break
-        at = m.end()
-        tag = m[2]
-        if tag is None:
+        if lt > at:
+            nodes.append((block, stack[-1].path, page[at:lt], links > 0))
+        m = tag_at.match(page, lt)
+        if m is None and tag_at is _TAG:  # all later signs stand in quotes: from here on, a tag ends at the first sign
+            tag_at = _PLAIN_TAG
+            m = tag_at.match(page, lt)
+        if m is None:
+            if page.find(">", lt) < 0:
+                break
+            at = lt + 1
             continue
-        tag = tag.lower()
+        at = m.end()
+        tag, empty = m[2].lower(), m[3].endswith("/")
         if m[1]:
             if tag in INLINE:
+                links -= tag == "a" and links > 0
                 continue
             block += 1
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
+            if opened.get(tag):
+                i = len(stack) - 1
+                while stack[i].tag != tag:
+                    i -= 1
+                pop_to(i)
+                links = 0
             continue
         if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at) if not m[3].endswith("/") else None
-            if not m[3].endswith("/"):
-                at = end.end() if end else n
+            if not empty:
+                close = _closing(tag).search(page, at)
+                at = close.end() if close else n
             continue
         if tag in INLINE:
-            stack[-1].opened += 1
+            links = 1 if tag == "a" else links
             continue
         block += 1
         if tag in VOID:
             continue
         if tag in _ENDS_P:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "p":
-                    del stack[i:]
-                    break
-                if stack[i].tag in ("td", "th", "button", "table"):
-                    break
-        if tag in _LIKE:
-            like, fence = _LIKE[tag]
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in fence:
-                    break
-                if stack[i].tag in like:
-                    del stack[i:]
-                    break
+            end(_BITS["p"])
+        if tag in _ENDED:
+            end(_ENDED[tag])
         up = stack[-1]
-        article = up.kind == "article" or tag in ("article", "main")
-        e = _Element(tag, up, up.dropped or _dropped(tag, m[3], up.kind == "article"), "article" if article else "")
-        up.opened += 1
-        if not m[3].endswith("/"):
-            stack.append(e)
-    return nodes
-
-
-def _holder(content: list[tuple[_Element, int]]) -> _Element | None:
-    """The deepest element that holds nearly all content text."""
-    weight: dict[int, int] = {}
-    seen: dict[int, _Element] = {}
-    for e, n in content:
-        x: _Element | None = e
-        while x is not None:
-            weight[id(x)] = weight.get(id(x), 0) + n
-            seen[id(x)] = x
-            x = x.parent
-    total = sum(n for _, n in content)
-    best = None
-    for k, x in seen.items():
-        if weight[k] >= 0.9 * total and (best is None or x.depth > best.depth):
-            best = x
-    return best
-
-
-def main_text(page: str | None, threshold: float = 0.5, smooth: int = 1) -> str:
+        if not empty:
+            stack.append(_Element(tag, up.path.step(tag, m[3]), up.open & _OPEN_BELOW.get(tag, -1) | _BITS.get(tag, 0)))
+            opened[tag] = opened.get(tag, 0) + 1
+    return root, nodes
+
+
+def main_text(page: str | None, threshold: float = 0.04) -> str:
     """The article of a page, its blocks joined by a blank."""
     if not page:
         return ""
-    nodes = text_nodes(page)
-    live = [(b, e, t) for b, e, t in nodes if not e.dropped]
-    if not live:
-        return ""
-    stats: dict[str, list[float]] = {}
-    counted: set[int] = set()
-    for _, e, t in live:
-        if t.isspace():
+    _, nodes = text_nodes(page)
+    paths: list[Path] = []
+    before: tuple[int, Path] | None = None
+    for block, path, text, linked in nodes:
+        size = len(text.strip())
+        if not size:
             continue
-        s = stats.setdefault(e.path, [0.0, 0.0, 0.0])
-        s[0] += len(t)
-        s[1] += len(_PUNCT.findall(t))
-        if id(e) not in counted:
-            counted.add(id(e))
-            s[2] += 1 + e.opened
-    if not stats:
+        if not path.nodes:
+            paths.append(path)
+        path.nodes += before != (block, path)
+        path.chars += size
+        if linked:
+            path.linked += size
+        else:
+            path.marks += len(_PUNCT.findall(text))
+        before = block, path
+    if not paths:
         return ""
-    raw = np.array(list(stats.values()))
-    ratios = raw[:, :2] / raw[:, 2:3]
-    kernel = np.ones(2 * smooth + 1)
-    near = lambda x: np.convolve(x, kernel)[smooth : smooth + len(x)]
-    smoothed = np.stack([near(ratios[:, i]) / near(np.ones(len(ratios))) for i in (0, 1)], 1)
-    fused = np.sqrt((ratios[:, 0] + smoothed[:, 0]) * (1 + ratios[:, 1] + smoothed[:, 1]))
-    chosen = {p for p, f in zip(stats, fused) if f >= threshold * float(np.average(fused, weights=raw[:, 0]))}
-    articles = [(e, len(t)) for _, e, t in live if e.kind == "article" and not t.isspace()]
-    within = _holder(articles) if articles else _holder([(e, len(t)) for _, e, t in live if e.path in chosen and not t.isspace()])
-    if articles:  # several articles: their nearest joint element
-        top = articles[0][0]
-        while top.parent is not None and top.parent.kind == "article":
-            top = top.parent
-        within = top if all(_under(e, top) for e, _ in articles) else None
-    elif within is not None and within.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre", "td") and within.parent is not None and within.parent.tag:
-        within = within.parent
+    # by parent: the mean ratio, by length of text, of the paths that have text of their own right under it
+    beside: dict[Path | None, list[float]] = {}
+    for p in paths:
+        own = beside.setdefault(p.parent, [0.0, 0.0])
+        own[0] += p.ratio * p.chars
+        own[1] += p.chars
+    smooth: dict[Path, float] = {}
+    for p in paths:
+        total, weight, up = NEAR[0] * p.ratio, NEAR[0], p.parent
+        for w in NEAR[1:]:
+            if up is None:
+                break
+            own = beside.get(up)
+            if own:
+                total, weight = total + w * own[0] / own[1], weight + w
+            up = up.parent
+        smooth[p] = total / weight
+    fine = [p for p in paths if p.worth >= 0] or paths
+    chars = sum(p.chars for p in fine)
+    level = sum(math.exp(smooth[p] + LEVEL_SHARE * p.worth) * p.chars for p in fine) / chars
+    for p in paths:
+        p.content = math.exp(smooth[p] + p.worth) >= threshold * level
     blocks: list[list] = []
-    for b, e, t in live:
-        if (e.kind == "article" if articles and within is None else within is None or _under(e, within)):
-            if not blocks or blocks[-1][0] != b:
-                blocks.append([b, []])
-            blocks[-1][1].append(t)
+    for block, path, text, _ in nodes:
+        if path.content:
+            if not blocks or blocks[-1][0] != block:
+                blocks.append([block, []])
+            blocks[-1][1].append(text)
     out = (_SPACE.sub(" ", _html.unescape("".join(parts))).strip() for _, parts in blocks)
     return " ".join(x for x in out if x)
 
 
-def _under(e: _Element | None, top: _Element) -> bool:
-    while e is not None and e.depth >= top.depth:
-        if e is top:
-            return True
-        e = e.parent
-    return False
-
-
-def extract(pages: DataFrame, threshold: float = 0.5, smooth: int = 1) -> DataFrame:
+def extract(pages: DataFrame, threshold: float = 0.04) -> DataFrame:
     """page_id, url, text, n_chars."""
-    small_batches(pages.sparkSession, 256)
+    bounded_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = [main_text(x, threshold, smooth) for x in b.column(2).to_pylist()]
+        for b in slices(batches, 256):
+            texts = [main_text(x, threshold) for x in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
