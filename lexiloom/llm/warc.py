@@ -2,7 +2,8 @@
 
 An archive is a series of gzip members, one for each record, so that damage to one leaves the others readable. The
 reader checks each member (magic, checksum) and record (version line, length, payload digest). After a failed check
-it searches for the next valid member or version line, goes on there, and logs the bytes between as a gap.
+it searches for the next valid member or version line, goes on there, and logs the bytes between as a gap; it does so
+inside the bytes of a member too, so a damaged record costs no other record of its member.
 
 Archives travel as a table (archive_id, n_records, content): its writer and reader are Spark's own, so any store that
 Spark reaches will do, and a lost executor's archives are written again from the rows of their partition.
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from lexiloom.llm.common import small_batches, text_or_empty, written
+from lexiloom.llm.common import bounded_batches, slices, text_or_empty, written
 
 VERSION = b"WARC/1.1\r\n"
 _MAGIC = b"\x1f\x8b\x08"
@@ -98,35 +99,57 @@ def parse_record(data: bytes, at: int = 0) -> tuple[dict, int]:
     return head | {"payload": payload, "digest": digest}, end + 4
 
 
+def inflate(data: bytes, at: int) -> tuple[bytes, int | None, str]:
+    """What can be read of the gzip member at ``at``: its bytes, where it ends (None if damaged), and the failed check."""
+    z, parts, fed = zlib.decompressobj(31), [], at
+    while not z.eof and fed < len(data):
+        chunk, before = data[fed : fed + (1 << 16)], z.copy()
+        try:
+            parts.append(z.decompress(chunk))
+        except zlib.error:
+            for i in range(0, len(chunk), 64):  # again in small steps, for what stands before the damage
+                try:
+                    parts.append(before.decompress(chunk[i : i + 64]))
+                except zlib.error:
+                    break
+            return b"".join(parts), None, "gzip member"
+        fed += len(chunk)
+    return b"".join(parts), fed - len(z.unused_data) if z.eof else None, "" if z.eof else "member end"
+
+
+def records_of(plain: bytes) -> tuple[list[dict], list[tuple[int, int, str]]]:
+    """The records of a member's bytes that pass their checks, and the gaps between them; after a failed check it goes on
+    at the next version line."""
+    records, gaps, at = [], [], 0
+    while at < len(plain):
+        try:
+            rec, at = parse_record(plain, at)
+            records.append(rec)
+        except ValueError as e:
+            line = _LINE.search(plain, at + 1)
+            after = line.start() if line else len(plain)
+            gaps.append((at, after - at, str(e)))
+            at = after
+    return records, gaps
+
+
 def salvage(data: bytes) -> tuple[list[dict], list[tuple[int, int, str]]]:
-    """All records that can be read of an archive, and the quarantined gaps: (offset, bytes, failed check)."""
+    """All records that can be read of an archive, and the quarantined gaps: (offset, bytes, failed check). A gap inside a
+    readable member has the member's offset and its own uncompressed bytes; of a damaged member, the records before the
+    damage are kept and the member's bytes are a gap."""
     records: list[dict] = []
     gaps: list[tuple[int, int, str]] = []
     at = 0
     while at < len(data):
         why = ""
         if data.startswith(_MAGIC, at):
-            z = zlib.decompressobj(31)
-            try:
-                plain = z.decompress(data[at:] if len(data) - at < 1 << 16 else data[at : at + (1 << 16)])
-                fed = at + min(len(data) - at, 1 << 16)
-                while not z.eof and fed < len(data):
-                    plain += z.decompress(data[fed : fed + (1 << 20)])
-                    fed = min(len(data), fed + (1 << 20))
-                if not z.eof:
-                    raise ValueError("member end")
-                end = fed - len(z.unused_data)
-                inner, got = 0, []
-                while inner < len(plain):
-                    rec, inner = parse_record(plain, inner)
-                    got.append(rec)
-                records += got
+            plain, end, why = inflate(data, at)
+            got, lost = records_of(plain)
+            records += got
+            if end is not None:
+                gaps += [(at, n, f"{reason} (inside a member)") for _, n, reason in lost]
                 at = end
                 continue
-            except zlib.error:
-                why = "gzip member"
-            except ValueError as e:
-                why = str(e)
         else:
             try:
                 rec, at = parse_record(data, at)
@@ -180,7 +203,7 @@ def with_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 
 def write_archives(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """archive_id, n_records, content: archives of about 8 MB, in the shared folder."""
-    small_batches(pages.sparkSession)
+    bounded_batches(pages.sparkSession)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, members, size = TaskContext.get().partitionId(), 0, [], 0
@@ -191,7 +214,7 @@ def write_archives(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
                 names=["archive_id", "n_records", "content"],
             )
 
-        for b in batches:
+        for b in slices(batches, 256):
             for page_id, url, html, refers_to in zip(*[c.to_pylist() for c in b.columns]):
                 payload = (html or "").encode("utf-8", "surrogatepass")
                 members.append(gzip_member(record(page_id, url, payload, refers_to, refers_to is not None)))
@@ -223,7 +246,7 @@ def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
     """A row per record (kind 'record') and per quarantined gap (kind 'gap') of (archive_id, content) rows."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 1):  # one row here is an archive
             for archive_id, content in zip(*[c.to_pylist() for c in b.columns]):
                 records, gaps = salvage(content or b"")
                 rows = []
@@ -236,6 +259,5 @@ def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
                 for i in range(0, len(rows), 512):
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[i : i + 512]), _RECORDS)], schema=_RECORDS)
 
-    # a batch is held whole, and one row here is an archive
-    archives.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    bounded_batches(archives.sparkSession)
     return archives.select("archive_id", "content").mapInArrow(read, RECORD_SCHEMA)
