@@ -63,10 +63,6 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    bounded_batches(spark)
-
-
 def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     """The batches in slices of at most ``rows`` rows, for work that holds several times what it reads."""
     for b in batches:

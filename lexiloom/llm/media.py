@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lexiloom.llm.common import small_batches
+from lexiloom.llm.common import bounded_batches, slices
 
 BLOCK = 576
 RATE = 8000
@@ -98,25 +98,24 @@ MEDIA_SCHEMA = "doc_id long, n_bytes long, media binary, payload binary, times a
 
 def media_columns(docs: DataFrame, *, frame: int = 128, hop: int = 64, per_frame: int = 3, reach: int = 4, fan: int = 3) -> DataFrame:
     """doc_id, n_bytes, media (WAV), payload (as read back), times and codes (the fingerprint)."""
-    small_batches(docs.sparkSession, 256)
+    bounded_batches(docs.sparkSession)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(0, b.num_rows, 64):  # what is made is several times as long as what is read
-                raw = [(x or "").encode("utf-8", "surrogatepass") for x in b.column(1).slice(i, 64).to_pylist()]
-                media = [to_wav(payload_of(x)) for x in raw]
-                back = [from_wav(m) for m in media]
-                prints = [pair_codes(*peaks(p, frame, hop, per_frame), reach, fan) for p in back]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        b.column(0).slice(i, 64),
-                        pa.array([len(x) for x in raw], pa.int64()),
-                        pa.array(media, pa.binary()),
-                        pa.array(back, pa.binary()),
-                        pa.array([p[0] for p in prints], pa.list_(pa.int32())),
-                        pa.array([p[1] for p in prints], pa.list_(pa.int64())),
-                    ],
-                    names=["doc_id", "n_bytes", "media", "payload", "times", "codes"],
-                )
+        for b in slices(batches, 64):  # what is made is several times as long as what is read
+            raw = [(x or "").encode("utf-8", "surrogatepass") for x in b.column(1).to_pylist()]
+            media = [to_wav(payload_of(x)) for x in raw]
+            back = [from_wav(m) for m in media]
+            prints = [pair_codes(*peaks(p, frame, hop, per_frame), reach, fan) for p in back]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b.column(0),
+                    pa.array([len(x) for x in raw], pa.int64()),
+                    pa.array(media, pa.binary()),
+                    pa.array(back, pa.binary()),
+                    pa.array([p[0] for p in prints], pa.list_(pa.int32())),
+                    pa.array([p[1] for p in prints], pa.list_(pa.int64())),
+                ],
+                names=["doc_id", "n_bytes", "media", "payload", "times", "codes"],
+            )
 
     return docs.select("doc_id", "text").mapInArrow(make, MEDIA_SCHEMA)

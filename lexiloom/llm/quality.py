@@ -9,8 +9,10 @@ log determinants) and of the class shares, tempered.
 Statistics are made once per text and kept in a narrow table; moments are sums over it, so labelled rows are never
 gathered. Defined results: null and empty texts have statistics of their own (all counts 0) and are scored like others;
 a label that is null, or a document without one, teaches nothing; of several labels of a document each counts; if a
-class is missing among the labels, every score is the other class (0 or 1), and 0.5 without any labels; further
-columns are dropped by ``quality_scores`` and kept by ``keep_good``.
+class is missing among the labels, every score is the other class (0 or 1), and 0.5 without any labels; equal texts have
+equal scores; a row without a doc_id is scored, but cannot be taught by and is not held out; texts of any length are taken
+whole; an empty table gives an empty one; further columns, whatever their names, are dropped by ``quality_scores`` and kept
+by ``keep_good``.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import small_batches, written
+from lexiloom.llm.common import bounded_batches, slices, written
 
 FEATURES = (
     "words", "mean_word", "upper", "digit", "symbol", "comma_stop", "odd_punct", "bar", "lines", "line_words", "repeated_lines", "repeated_words", "top_word",
@@ -90,12 +92,12 @@ def statistics(text: str | None) -> np.ndarray:
     )
 
 
-def document_statistics(docs: DataFrame, carry: bool = False) -> DataFrame:
-    """doc_id and x, the transformed statistics, of every whole text; with ``carry``, all columns of ``docs`` and x."""
-    small_batches(docs.sparkSession)
+def document_statistics(docs: DataFrame) -> DataFrame:
+    """doc_id and x, the transformed statistics, of every whole text."""
+    bounded_batches(docs.sparkSession)
 
     def stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 512):
             x = np.array([statistics(t) for t in b.column(1).to_pylist()]).reshape(-1)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(x) + 1, N, dtype=np.int32)), pa.array(x))
             yield pa.RecordBatch.from_arrays([b.column(0), lists], names=["doc_id", "x"])
@@ -103,9 +105,17 @@ def document_statistics(docs: DataFrame, carry: bool = False) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(stats, "doc_id long, x array<double>")
 
 
+def forward_solve(low: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """y with low @ y = b, for a lower triangular matrix and many columns at once."""
+    y = np.empty_like(b)
+    for i in range(len(low)):
+        y[i] = (b[i] - low[i, :i] @ y[:i]) / low[i, i]
+    return y
+
+
 @dataclass
 class Discriminant:
-    """What scoring needs: by class the mean, the inverse of the Cholesky factor, log determinant; log odds of the classes."""
+    """What scoring needs: by class the mean, the Cholesky factor, its log determinant; log odds of the classes."""
 
     centre: np.ndarray
     scale: np.ndarray
@@ -119,8 +129,8 @@ class Discriminant:
         z = np.clip((x - self.centre) / self.scale, -8, 8)
         log = []
         for k in (0, 1):
-            y = (z - self.means[k]) @ self.factors[k].T
-            log.append(-0.5 * (y * y).sum(1) - 0.5 * self.logdets[k])
+            y = forward_solve(self.factors[k], (z - self.means[k]).T)
+            log.append(-0.5 * (y * y).sum(0) - 0.5 * self.logdets[k])
         t = np.clip((log[1] - log[0]) * self.temper + self.odds, -40, 40)
         return 1 / (1 + np.exp(-t))
 
@@ -172,7 +182,7 @@ def fit(rows: DataFrame, label: str = "y", *, pooled: float = 0.2, diagonal: flo
         c = (1 - a) * covs[k] + a * joint
         c = (1 - diagonal) * c + diagonal * (np.diag(np.diag(c)) + 0.05 * np.eye(N))
         low = np.linalg.cholesky(c)
-        factors.append(np.linalg.inv(low))
+        factors.append(low)
         dets.append(2 * np.log(np.diag(low)).sum())
     return Discriminant(centre, scale, np.array(means), np.array(factors), np.array(dets), float(np.log(n[1] / n[0])), temper)
 
@@ -194,8 +204,12 @@ def scored(rows: DataFrame, model: Discriminant | float) -> DataFrame:
     return rows.select("doc_id", "x").mapInArrow(run, "doc_id long, score double")
 
 
+def known_labels(labels: DataFrame, label: str, modulus: int, held_out: int) -> DataFrame:
+    return teaching(labels, modulus, held_out).select(F.col("doc_id").alias("_doc"), F.col(label).alias("y")).filter("y is not null")
+
+
 def trained(stats: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int) -> Discriminant | float:
-    known = teaching(labels, modulus, held_out).select(F.col("doc_id").alias("_doc"), F.col(label).alias("y")).filter("y is not null")
+    known = known_labels(labels, label, modulus, held_out)
     return fit(stats.join(known, F.col("doc_id") == F.col("_doc")).select("x", "y"))
 
 
@@ -205,9 +219,15 @@ def quality_scores(docs: DataFrame, labels: DataFrame, *, modulus: int = 3, held
     return scored(stats, trained(stats, labels, "quality", modulus, held_out))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5, modulus: int = 3, held_out: int = 1) -> DataFrame:
-    """The documents, all columns, whose score reaches ``threshold``."""
-    model = trained(document_statistics(docs), labels, "quality", modulus, held_out)
+def keep_good(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5, modulus: int = 3, held_out: int = 1, max_rows: int = 200_000) -> DataFrame:
+    """The documents, all columns, whose score reaches ``threshold``. At most about ``max_rows`` labelled rows teach (dealt by
+    a hash of doc_id), so their ids can go to every worker and only their texts are read for it."""
+    known = known_labels(labels, "quality", modulus, held_out)
+    share = max_rows / max(1, known.count())
+    if share < 1:
+        known = known.filter(F.pmod(F.xxhash64("_doc"), F.lit(1 << 30)) < int(0.97 * share * (1 << 30)))
+    taught = docs.select("doc_id", "text").join(F.broadcast(known.select(F.col("_doc").alias("_id")).distinct()), F.col("doc_id") == F.col("_id"), "left_semi")
+    model = fit(document_statistics(taught).join(known, F.col("doc_id") == F.col("_doc")).select("x", "y"))
     return docs.filter(score_column(model)(F.col("text")) >= threshold)
 
 

@@ -56,7 +56,7 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _labelled(s: DataFrame, modulus: int, held_out: int) -> DataFrame:
     rest = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(modulus))
-    return s.select("doc_id", (rest == held_out).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return s.select("doc_id", F.coalesce(rest == held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
