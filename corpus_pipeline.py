@@ -4,6 +4,12 @@ Each stage takes (spark, docs, sf_dir) and returns a table that is written as Pa
 ``docs``; all but the last return the columns of ``documents``. Models learn from the documents that the stage before
 has kept. In the mix a document may stand more than once, and part of one may stand alone; the packer takes each row as
 a document of its own.
+
+Defined results: a null text counts as empty; empty texts are scored like others, join with nothing, and are not taken by
+the mix; rows that repeat a doc_id leave near-dedup as one; rows without a doc_id are kept by it; labels that are null or
+belong to no document teach nothing, and without labels the quality stage keeps all (every score is 0.5) and the toxicity
+stage too (every score is 0); an empty table stays empty; further columns, whatever their names, are carried to the
+packer, which drops them.
 """
 
 from __future__ import annotations

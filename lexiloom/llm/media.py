@@ -1,13 +1,15 @@
 """Media columns: WAV samples, short-time Fourier transforms and spectral-peak pair fingerprints.
 
 A payload of bytes is stored as unsigned 8-bit mono samples of a WAV file by the ``wave`` module and read back with it.
-Frames of ``frame`` samples under a Hann window, each begun half a frame after the last, give spectra; the strongest bins of a frame that exceed their
-neighbours are its peaks, and each peak is paired with the peaks of the next frames. A pair is a code (first bin,
-second bin, frames between) at a time: two arrays of equal length, ``times`` and ``codes``, in order of time.
+Frames of ``frame`` samples under a Hann window, each begun half a frame after the last, give spectra; the strongest bins
+of a frame that exceed their neighbours are its peaks, and each peak is paired with the peaks of the next frames. A pair
+is a code (first bin, second bin, frames between) at a time: two arrays of equal length, ``times`` and ``codes``, in order
+of time. Of bins that tie, the lower is the peak; of peaks that tie for the last place, any.
 
 Defined results: null and empty texts are one block of padding; equal texts give equal values; a payload shorter than a
 frame is one frame, filled up with silence; silence has no peaks; texts are never cut (features are made in bounded
-runs of frames); columns other than doc_id and text are dropped; an empty table gives an empty one.
+runs of frames); repeated rows are made each; columns other than doc_id and text are dropped; an empty table gives an
+empty one.
 """
 
 from __future__ import annotations
