@@ -7,9 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiloom.functions.text import general_tokens
-from lexiloom.operators import analytics, crawl, extraction, graph
+from lexiloom.operators import analytics, crawl, extraction, graph, understanding
 from lexiloom.plans import sql
-from lexiloom.sources.store import _file_system, shared_dir, table
+from lexiloom.plans.text_queries import _chain
+from lexiloom.sources.store import Bucketed, _file_system, shared_dir, staging_path, table
 from lexiloom.streaming import streams
 
 ORACLE: dict[str, str] = {}
@@ -180,13 +181,16 @@ def validate_integrity(spark: SparkSession, d: str) -> DataFrame:
     ])
 
 
+def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """A table as a stream of files; a table that is one file is found by its name in its folder."""
+    path = f"{d}/{name}.parquet"
+    reader = spark.readStream.schema(table(spark, d, name).schema)
+    p, fs = _file_system(spark, path)
+    return reader.parquet(path) if fs.getFileStatus(p).isDirectory() else reader.option("pathGlobFilter", f"{name}.parquet").parquet(d)
+
+
 def _events_stream(spark: SparkSession, d: str) -> DataFrame:
-    """The events table as a stream of files; a table that is one file is found by its name in its folder."""
-    schema = table(spark, d, "events").schema
-    p, fs = _file_system(spark, f"{d}/events.parquet")
-    reader = spark.readStream.schema(schema)
-    rows = reader.parquet(f"{d}/events.parquet") if fs.getFileStatus(p).isDirectory() else reader.option("pathGlobFilter", "events.parquet").parquet(d)
-    return rows.select(F.col("ts").alias("timestamp"), F.col("event_type").alias("query_type"))
+    return _stream(spark, d, "events").select(F.col("ts").alias("timestamp"), F.col("event_type").alias("query_type"))
 
 
 @query("select event_type as query_type, count(*) as n from events group by 1")
@@ -206,3 +210,36 @@ def entity_extract(spark: SparkSession, d: str) -> DataFrame:
     words = table(spark, d, "benchmark").select(F.explode(general_tokens(F.col("text"))).alias("name")).distinct().filter(F.length("name") >= 8)
     find = extraction.dictionary_extractor(words.select("name", F.lit("word").alias("type"), F.lit("").alias("description")))
     return find(table(spark, d, "documents").select(F.col("doc_id").alias("page_id"), "text"))[0].select("page_id", "name", "type")
+
+
+@query(f"select page_id, url, sha256({_chain('html')}) as content_hash from pages qualify row_number() over (partition by url order by page_id desc) = 1")
+def stream_index(spark: SparkSession, d: str) -> DataFrame:
+    """Pages as a stream into the index, read back; the newest page of each url is stored."""
+    root = staging_path(spark, "stream-index")
+    streams.index_pages(_stream(spark, d, "pages"), root, f"{root}-checkpoint")
+    return Bucketed(spark, f"{root}/pages", "url").read().select("page_id", "url", "content_hash")
+
+
+@query("""
+with r as (select item_id as query_id, unnest(range(1, 4)) as rank, item_id + unnest(range(1, 4)) as doc_id from benchmark)
+select r.query_id, r.rank::bigint as rank, r.doc_id, d.text as content, d.lang as heading_path, p.url as page_url from r left join documents d using (doc_id) left join pages p on p.page_id = d.doc_id // 4""")
+def enrich(spark: SparkSession, d: str) -> DataFrame:
+    """Results with what their chunks and pages hold; ids beyond the tables pass with nulls."""
+    found = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array(*[F.lit(i) for i in (1, 2, 3)])).alias("rank")).withColumn("doc_id", F.col("query_id") + F.col("rank"))
+    parts = table(spark, d, "documents").select("doc_id", F.floor(F.col("doc_id") / 4).alias("page_id"), F.col("text").alias("content"), F.col("lang").alias("heading_path"))
+    out = understanding.enrich(found, parts, table(spark, d, "pages").select("page_id", F.lit("").alias("title"), "url"))
+    return out.select("query_id", "rank", "doc_id", "content", "heading_path", "page_url")
+
+
+@query(f"""with {_ENTITIES}, s as (select c_custkey as query_id, c_custkey * 10 + 2 as entity_id, 1 as first from customer union all select c_custkey, c_nationkey * 10 + 1, 2 from customer),
+l as (select query_id, string_agg('- ' || name || ' (' || e.type || ')', chr(10) order by first) as entity_lines from s join e using (entity_id) group by 1),
+r as (select a.query_id, string_agg('- ' || x.name || ' ' || g.type || ' ' || y.name, chr(10) order by g.source_id, g.target_id, g.type) as relation_lines
+  from g join s a on a.entity_id = g.source_id join s b on b.entity_id = g.target_id and b.query_id = a.query_id join e x on x.entity_id = g.source_id join e y on y.entity_id = g.target_id group by 1)
+select query_id, entity_lines, coalesce(relation_lines, '') as relation_lines from l left join r using (query_id)""")
+def entity_context(spark: SparkSession, d: str) -> DataFrame:
+    """Each customer as a question that found a document of the customer, then one of the nation."""
+    c = table(spark, d, "customer")
+    found = c.select(F.col("c_custkey").alias("query_id"), (F.col("c_custkey") * 10 + 2).alias("doc_id"), F.lit(1).alias("rank"))
+    found = found.unionByName(c.select(F.col("c_custkey").alias("query_id"), (F.col("c_nationkey") * 10 + 1).alias("doc_id"), F.lit(2).alias("rank")))
+    e = _entities(spark, d)
+    return graph.entity_context(found, e.select(F.col("entity_id").alias("doc_id"), "entity_id"), e, _edges(spark, d))
