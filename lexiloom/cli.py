@@ -52,6 +52,18 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def shown_answer(got: dict[str, Any]) -> str:
+    """An answer for reading: itself, its confidence in whole percent, and its sources."""
+    lines = [got.get("answer") or "There is no answer.", "", f"Confidence: {int((got.get('confidence') or 0) * 100)}%"]
+    if got.get("sources"):
+        lines += ["", "Sources:", *[f"- {s}" for s in got["sources"]]]
+    return "\n".join(lines)
+
+
+def shown_stats(stats: dict[str, Any]) -> str:
+    return "\n".join(["Index", "-----", *[f"{k.replace('_', ' ').capitalize()}: {v}" for k, v in stats.items()]])
+
+
 def show(value: Any, out: TextIO, as_json: bool) -> None:
     if as_json:
         print(json.dumps(value, ensure_ascii=False, default=str), file=out)
@@ -93,13 +105,13 @@ def interactive(engine: Engine, lines: TextIO, out: TextIO) -> None:
         if kind == "help":
             print("A question, or: stats, cache, help, quit", file=out)
         elif kind == "stats":
-            show(engine.stats(), out, False)
+            print(shown_stats(engine.stats()), file=out)
         elif kind == "cache":
             show(engine.cache.stats(), out, False)
         elif kind == "query":
             try:
                 got = engine.query(text)
-                print(got["answer"], *[f"- {s}" for s in got["sources"]], sep="\n", file=out)
+                print(shown_answer(got), file=out)
             except ValueError as e:
                 print(e, file=out)
 
@@ -118,7 +130,8 @@ def run(engine: Engine, args: argparse.Namespace, out: TextIO = sys.stdout, line
             for r in listed(engine, args.question, args.top_k or engine.settings.top_k_final):
                 print(f"[{r['score']:.4f}] {r['content'][:200]}", file=out)
         else:
-            show(engine.query(args.question, args.top_k), out, as_json)
+            got = engine.query(args.question, args.top_k)
+            show(got if as_json else shown_answer(got), out, as_json)
     elif c == "bm25":
         rows = listed(engine, args.question, args.top_k)
         show(rows if as_json else [f"[{r['score']:.4f}] {r['heading_path'] or ''} {r['content'][:200]}" for r in rows], out, as_json)
@@ -142,7 +155,8 @@ def run(engine: Engine, args: argparse.Namespace, out: TextIO = sys.stdout, line
         show(found, out, as_json)
         return 1 if any(found.values()) and not args.fix else 0
     elif c == "stats":
-        show(engine.stats(), out, as_json)
+        got = engine.stats()
+        show(got if as_json else shown_stats(got), out, as_json)
     elif c == "interactive":
         interactive(engine, lines, out)
     elif c == "health":

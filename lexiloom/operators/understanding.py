@@ -55,6 +55,14 @@ def clamp(x: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
 
 
+def weighted_average(values: Column, weights: Column) -> Column:
+    """Of two arrays, over their common length; 0 if either is empty or all weights add up to 0."""
+    add = lambda x: F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
+    total = add(weights.cast("array<double>"))
+    paired = F.filter(F.zip_with(values.cast("array<double>"), weights.cast("array<double>"), lambda v, w: v * w), lambda x: x.isNotNull())
+    return F.when((F.size(values) > 0) & (F.size(weights) > 0) & (total != 0), add(paired) / total).otherwise(0.0)
+
+
 def coverage(question: Column, content: Column) -> Column:
     """Share of the question's words, repeated ones again, that the content holds as parts; 0 without words."""
     words, low = general_tokens(question), F.lower(content)

@@ -243,3 +243,13 @@ def build_context(spark: SparkSession, d: str) -> DataFrame:
 def source_list(spark: SparkSession, d: str) -> DataFrame:
     rows = _lexical(spark, d).join(_docs(spark, d).select("doc_id", F.col("source").alias("page_url")), "doc_id")
     return understanding.source_list(rows)
+
+
+@query("""
+with e as (select vec_id, embedding[1:3]::double[] as v, [vec_id % 3, 1.0, 2.0 - vec_id % 3]::double[] as w from embeddings)
+select vec_id, round(case when vec_id % 7 = 0 or w[1] + w[2] + w[3] = 0 then 0 else (v[1] * w[1] + v[2] * w[2] + v[3] * w[3]) / (w[1] + w[2] + w[3]) end, 6) + 0.0 as average from e""")
+def weighted_averages(spark: SparkSession, d: str) -> DataFrame:
+    v = F.when(F.col("vec_id") % 7 == 0, F.array().cast("array<double>")).otherwise(F.slice(F.col("embedding").cast("array<double>"), 1, 3))
+    third = F.col("vec_id") % 3
+    w = F.array(third.cast("double"), F.lit(1.0), (2 - third).cast("double"))
+    return table(spark, d, "embeddings").select("vec_id", (F.round(understanding.weighted_average(v, w), 6) + 0.0).alias("average"))
