@@ -47,9 +47,10 @@ ROLE_WORTH = dict.fromkeys(
 )
 NAME_WORTH = dict.fromkeys(
     (
-        "ad", "ads", "advert", "advertisement", "adverts", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disqus", "footer",
-        "login", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pagination", "popup", "promo", "promoted", "related", "replies", "reply", "respond",
-        "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "topbar", "widget", "widgets",
+        "ad", "ads", "adsense", "adv", "advert", "advertisement", "advertising", "adverts", "banner", "breadcrumb", "breadcrumbs", "comment", "commentlist", "comments", "consent",
+        "cookie", "cookies", "copyright", "discussion", "disqus", "footer", "gdpr", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice",
+        "notices", "overlay", "pager", "pagination", "popup", "promo", "promoted", "promotion", "recommendations", "recommended", "related", "replies", "reply", "respond", "share",
+        "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "subscription", "toolbar", "topbar", "widget", "widgets",
     ), -10.0,
 )
 HIDDEN_WORTH = -20.0
@@ -68,6 +69,8 @@ _SPACE = re.compile(r"\s+")
 #: Weights of a path's own ratio, of those beside it, beside its parent and so on; lengths and marks at which ratios level off.
 NEAR = (0.3, 0.4, 0.2, 0.1, 0.1, 0.1, 0.1)
 LONG, RICH = 200.0, 10.0
+#: What a path outside an article loses if all of its text is linked.
+LINKED_COST = 3.0
 
 
 @functools.lru_cache(maxsize=64)
@@ -245,7 +248,7 @@ def main_text(page: str | None, threshold: float = 0.04) -> str:
             if own:
                 total, weight = total + w * own[0] / own[1], weight + w
             up = up.parent
-        smooth[p] = total / weight
+        smooth[p] = total / weight - (0.0 if p.article else LINKED_COST * p.linked / p.chars)
     fine = [p for p in paths if p.worth >= 0] or paths
     chars = sum(p.chars for p in fine)
     level = sum(math.exp(smooth[p] + LEVEL_SHARE * p.worth) * p.chars for p in fine) / chars
