@@ -58,9 +58,9 @@ def written(df: DataFrame, tag: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Batches for Python workers end at 8 MB, whatever the rows' lengths; the same bound for every operator, as plans
+    """Batches for Python workers end at 1 MB, whatever the rows' lengths; the same bound for every operator, as plans
     are lazy and a session's setting holds for all of them."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(1 << 20))
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:

@@ -298,7 +298,7 @@ class IdTokens(Words):
     """Whole encodings, for packing: the library's ids, and those of words seen before from a table."""
 
     #: Bytes of the table at most, about; words beyond it are encoded each time.
-    LIMIT = 80 << 20
+    LIMIT = 64 << 20
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
