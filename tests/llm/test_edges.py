@@ -182,7 +182,8 @@ def test_warc_salvage():
     parts = [warc.gzip_member(warc.record(i, "u", b"payload %d" % i * 50, None, False)) for i in range(6)]
     data = parts[0] + b"junk" * 9 + parts[1] + parts[2][:-9] + b"\0" * 9 + parts[3][5:] + warc.record(4, "u", b"plain", None, False) + parts[5][:40]
     records, gaps = warc.salvage(data)
-    assert [warc._urn(r["warc-record-id"]) for r in records] == [0, 1, 4]
+    # of the third member only the trailer is damaged: its record is whole by its own digest
+    assert [warc._urn(r["warc-record-id"]) for r in records] == [0, 1, 2, 4]
     assert sum(g[1] for g in gaps) + len(parts[0]) + len(parts[1]) + len(warc.record(4, "u", b"plain", None, False)) == len(data)
 
 
