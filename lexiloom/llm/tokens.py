@@ -77,8 +77,9 @@ class Words:
 class WordTokens(Words):
     """Words and the tokens at each of their prefixes, for one tokenizer file; lives in a worker process."""
 
-    #: Bytes of words and prefixes that are kept at most, about; then the tables start anew.
-    LIMIT = 96 << 20
+    #: Bytes of words and prefixes that are kept from text to text at most, about, and pairs of tokens; then the tables
+    #: start anew.
+    LIMIT, PAIRS = 96 << 20, 300_000
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -111,14 +112,12 @@ class WordTokens(Words):
         self.deltas: dict[str, bytes] = {}
         self.held_bytes = 0
 
-    def make_room(self, n: int) -> None:
-        """Called for every entry of ``n`` bytes that is about to be kept."""
-        self.held_bytes += n
+    def trim(self) -> None:
+        """Between two texts: a word's prefixes lean on each other while it is read."""
         if self.held_bytes > self.LIMIT:
             self.states.clear()
             self.deltas.clear()
-            self.pairs.clear()
-            self.held_bytes = n
+            self.held_bytes = 0
 
     def fits(self, left: str, right: str) -> bool:
         """Whether ``right`` may follow ``left``: no merge across their border comes before those that made them.
@@ -131,7 +130,8 @@ class WordTokens(Words):
         key = (left, right)
         if (known := self.pairs.get(key)) is not None:
             return known
-        self.make_room(200)
+        if len(self.pairs) > self.PAIRS:  # no reader leans on a pair that is kept
+            self.pairs.clear()
         number, parts, made, limit = self.number, self.parts, self.made, 1 << 60
         while True:
             if made.get((left, right), limit) < limit:
@@ -167,7 +167,7 @@ class WordTokens(Words):
         if (state := states.get(s)) is not None:
             return state[3]
         n = k = len(s)
-        self.make_room(n * (300 + n))
+        self.held_bytes += n * (300 + n)
         path: list = [None] * (n + 1)
         path[0] = state = ("", 0, 0, b"", 0, 0)
         while k > 1:
@@ -239,7 +239,7 @@ class WordTokens(Words):
                 at = m.end()
             d = b"".join(out) + bytes(len(chunk) - at)
         if len(chunk) <= 64:
-            self.make_room(200 + 2 * len(d))
+            self.held_bytes += 200 + 2 * len(d)
             self.deltas[chunk] = d
         return d
 
@@ -255,6 +255,7 @@ class WordTokens(Words):
 
     def text_deltas(self, text: str) -> bytes:
         """The table of a text: a signed byte for each code point."""
+        self.trim()
         if self.has_special(text):
             out = []
             for part in self.special_parts.split(text):

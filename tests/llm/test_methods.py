@@ -110,6 +110,18 @@ def test_long_words():
     assert w.held_bytes < w.LIMIT
 
 
+def test_tables_start_anew():
+    """Tables that are full at every word give what roomy ones give."""
+    r = np.random.default_rng(8)
+    texts = [" ".join("".join("etaoin"[k] for k in r.integers(0, 6, int(n))) for n in r.integers(1, 30, 40)) for _ in range(30)]
+    roomy, tight = (tokens.WordTokens(tokens.default_path()) for _ in range(2))
+    tight.LIMIT, tight.PAIRS = 500, 3
+    assert [tight.text_deltas(t) for t in texts] == [roomy.text_deltas(t) for t in texts] and len(tight.pairs) <= 4
+    few, many = (tokens.IdTokens(tokens.default_path()) for _ in range(2))
+    few.LIMIT = 300
+    assert [few.text_ids(t) for t in texts] == [many.text_ids(t) for t in texts]
+
+
 def test_fitting_prefix(spark):
     from tokenizers import Tokenizer
 
