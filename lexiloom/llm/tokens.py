@@ -79,7 +79,7 @@ class WordTokens(Words):
 
     #: Bytes of words and prefixes that are kept from text to text at most, about, and pairs of tokens; then the tables
     #: start anew.
-    LIMIT, PAIRS = 96 << 20, 300_000
+    LIMIT, PAIRS = 192 << 20, 600_000
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -167,7 +167,6 @@ class WordTokens(Words):
         if (state := states.get(s)) is not None:
             return state[3]
         n = k = len(s)
-        self.held_bytes += n * (300 + n)
         path: list = [None] * (n + 1)
         path[0] = state = ("", 0, 0, b"", 0, 0)
         while k > 1:
@@ -177,6 +176,7 @@ class WordTokens(Words):
                 break
         else:
             k = 0
+        self.held_bytes += (n - k) * (300 + n // 2)  # of the prefixes that are new
         kinds, end, longest, fits, lacks, pairs = self.kinds, self.end, self.longest, self.fits, self.lacks, self.pairs
         while k < n:
             k += 1
@@ -239,7 +239,7 @@ class WordTokens(Words):
                 at = m.end()
             d = b"".join(out) + bytes(len(chunk) - at)
         if len(chunk) <= 64:
-            self.held_bytes += 200 + 2 * len(d)
+            self.held_bytes += 200 + 2 * len(chunk)
             self.deltas[chunk] = d
         return d
 
