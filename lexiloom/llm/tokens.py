@@ -3,9 +3,10 @@
 A text is normalised (NFC, lower case) and cut into words as the file's own pattern does; a word is encoded alone, so
 a prefix of the text costs the words before it and the prefix of one word. Inside a word, dynamic programming over its
 prefixes keeps for each the last token of its encoding: the token ``t`` that ends there and may follow the last token
-of the prefix before ``t`` (two tokens may stand side by side if encoding their joint string gives just these two).
-Nothing is encoded twice: prefixes that words share are kept, and a word seen before costs one look-up. What is kept is
-bounded by bytes. A word of any length takes memory in proportion to its length; those of more than 48 bytes are not kept.
+of the prefix before ``t`` (two tokens may stand side by side if encoding their joint string gives just these two). An
+automaton of the vocabulary names the tokens that end at a place. A word seen before costs one look-up. What is kept is
+bounded by bytes. A word of any length takes memory in proportion to its length; parts of more than 64 characters
+between blanks are not kept.
 
 The table kept for a text has one signed byte for each of its code points: by how many tokens the count changes there.
 Its running sum is the exact token count at every prefix; truncation and budget questions read it and nothing else.
@@ -25,6 +26,7 @@ import sys
 import unicodedata
 from array import array
 from collections.abc import Iterator
+from itertools import accumulate, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -75,79 +77,86 @@ class Words:
 
 
 class WordTokens(Words):
-    """Words and the tokens at each of their prefixes, for one tokenizer file; lives in a worker process."""
+    """Words and the tokens at each of their prefixes, for one tokenizer file; lives in a worker process.
 
-    #: Bytes of words and prefixes that are kept from text to text at most, about, and pairs of tokens; then the tables
-    #: start anew.
+    Tokens are small integers here, 0 is none; a pair of tokens is one integer, the left one shifted by ``bits``.
+    """
+
+    #: Bytes of words' tables that are kept from text to text at most, about, and pairs of tokens. Tables stand in two
+    #: generations of half the bytes: what is not met again while a generation fills goes after it.
     LIMIT, PAIRS = 192 << 20, 600_000
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         super().__init__(spec)
-        self.end = spec["model"]["end_of_word_suffix"]
-        self.vocab: dict[str, int] = spec["model"]["vocab"]
+        end, vocab = spec["model"]["end_of_word_suffix"], spec["model"]["vocab"]
         merges = [tuple(m.split(" ", 1)) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
-        # a token is numbered by the merge that makes it, a single symbol below all merges; parts: what it was made of
-        self.number = {t: i - len(self.vocab) for i, t in enumerate(self.vocab)}
-        self.parts: dict[str, tuple[str, str]] = {}
+        token = {t: i for i, t in enumerate(vocab, 1)}
+        self.bits = len(token).bit_length()
+        # a token's age is the merge that makes it, a single symbol's is below all merges; parts: what it was made of
+        self.age = [0, *range(-len(token), 0)]
+        self.parts: list[tuple[int, int] | None] = [None] * (len(token) + 1)
         for i, (x, y) in enumerate(merges):
-            if x + y not in self.parts:
-                self.number[x + y] = i
-                self.parts[x + y] = (x, y)
-        self.made = {m: self.number[m[0] + m[1]] for m in merges}
-        self.longest = max(map(len, self.vocab))
-        # what may stand as a token: inside a word (1), at its end (2), or both (3)
-        self.kinds = dict.fromkeys((t for t in self.vocab if not t.endswith(self.end)), 1)
-        for t in self.vocab:
-            if t.endswith(self.end):
-                t = t[: -len(self.end)]
-                self.kinds[t] = self.kinds.get(t, 0) | 2
+            if self.parts[t := token[x + y]] is None:
+                self.age[t] = i
+                self.parts[t] = (token[x], token[y])
+        self.made = {token[x] << self.bits | token[y]: self.age[token[x + y]] for x, y in merges}
+        # by string: its length and the token that it is inside a word, and its length and the token that it is at a word's end
+        self.inside: dict[str, tuple[int, int]] = {}
+        self.ending: dict[str, tuple[int, int]] = {}
+        for t, i in token.items():
+            if t.endswith(end):
+                t = t[: -len(end)]
+                self.ending[t] = (len(t), i)
+            else:
+                self.inside[t] = (len(t), i)
+        self.begins = {t[:k] for t in (*self.inside, *self.ending) for k in range(len(t) + 1)}
+        # an automaton, made as far as texts ask for it: a node stands for the longest end of what was read that begins a
+        # token; it has the nodes after it by symbol, the tokens that end there inside a word and at a word's end, the
+        # longest first, and its string
+        self.nodes: dict[str, tuple] = {}
+        self.root = ({}, (), (), "")
         self.chars = _byte_chars()
-        self.pairs: dict[tuple[str, str], bool] = {}
-        # by prefix of a word, in stand-ins: last token and count of tokens inside a word; the count where the word ends
-        # there; the table of its code points, the count at the last of them, and the bytes that its character lacks
-        self.states: dict[str, tuple[str, int, int, bytes, int, int]] = {}
-        self.lacks = {c: 0 if b < 0xC0 else 1 if b < 0xE0 else 2 if b < 0xF0 else 3 for b, c in enumerate(self.chars)}
+        self.pairs: dict[int, bool] = {}
+        # tables of words and of other parts between blanks
         self.deltas: dict[str, bytes] = {}
+        self.older_deltas: dict[str, bytes] = {}
         self.held_bytes = 0
 
     def trim(self) -> None:
-        """Between two texts: a word's prefixes lean on each other while it is read."""
-        if self.held_bytes > self.LIMIT:
-            self.states.clear()
-            self.deltas.clear()
+        """A full generation becomes the older one; no reader leans on what is kept."""
+        if self.held_bytes > self.LIMIT // 2:
+            self.older_deltas, self.deltas = self.deltas, {}
             self.held_bytes = 0
 
-    def fits(self, left: str, right: str) -> bool:
-        """Whether ``right`` may follow ``left``: no merge across their border comes before those that made them.
+    def fits(self, pair: int) -> bool:
+        """Whether the right token may follow the left one: no merge across their border comes before those that made them.
 
         Walks back the youngest merge of the two along the border; if the tokens at the border have a merge that is
         older than what was undone so far, encoding would have made it.
         """
-        if not left:
-            return True
-        key = (left, right)
-        if (known := self.pairs.get(key)) is not None:
+        if (known := self.pairs.get(pair)) is not None:
             return known
         if len(self.pairs) > self.PAIRS:  # no reader leans on a pair that is kept
             self.pairs.clear()
-        number, parts, made, limit = self.number, self.parts, self.made, 1 << 60
+        age, parts, made, bits, limit = self.age, self.parts, self.made, self.bits, 1 << 60
+        left, right = pair >> bits, pair & ((1 << bits) - 1)
         while True:
-            if made.get((left, right), limit) < limit:
+            if made.get(left << bits | right, limit) < limit:
                 known = False
                 break
-            a, b = number[left], number[right]
-            if a > b and left in parts:
+            a, b = age[left], age[right]
+            if a > b and parts[left]:
                 limit, left = a, parts[left][1]
-            elif right in parts:
+            elif parts[right]:
                 limit, right = b + 1, parts[right][0]
-            elif left in parts:
+            elif parts[left]:
                 limit, left = a, parts[left][1]
             else:
                 known = True
                 break
-        self.pairs[key] = known
+        self.pairs[pair] = known
         return known
 
     # -- dynamic programming over the prefixes of a word
@@ -158,86 +167,53 @@ class WordTokens(Words):
             return word
         return "".join(map(self.chars.__getitem__, word.encode()))
 
+    def step(self, node: tuple, symbol: str) -> tuple:
+        """The node after ``node``, kept there."""
+        string = node[3] + symbol
+        while string not in self.begins:
+            string = string[1:]
+        if string not in self.nodes:
+            ends = [string[i:] for i in range(len(string))]
+            self.nodes[string] = ({}, *(tuple(d[e] for e in ends if e in d) for d in (self.inside, self.ending)), string)
+        node[0][symbol] = self.nodes[string]
+        return self.nodes[string]
+
     def word_deltas(self, word: str) -> bytes:
-        """For each code point of a word, the change of the token count of the prefix that ends there."""
+        """For each code point of a word, the change of the token count of the prefix that ends there.
+
+        Of the tokens that end at a place one follows; the shortest, a symbol, does so if no other does.
+        """
         s = self.symbols(word)
-        if len(s) > 48:  # prefixes of long words are not kept: together they would grow with the square of the length
-            return self.long_deltas(s)
-        states = self.states
-        if (state := states.get(s)) is not None:
-            return state[3]
-        n = k = len(s)
-        path: list = [None] * (n + 1)
-        path[0] = state = ("", 0, 0, b"", 0, 0)
-        while k > 1:
-            k -= 1
-            if (known := states.get(s[:k])) is not None:
-                path[k] = state = known
-                break
-        else:
-            k = 0
-        self.held_bytes += (n - k) * (300 + n // 2)  # of the prefixes that are new
-        kinds, end, longest, fits, lacks, pairs = self.kinds, self.end, self.longest, self.fits, self.lacks, self.pairs
-        while k < n:
-            k += 1
-            last, inner, final, need = "", 0, 0, state[5]
-            for j in range(k - longest if k > longest else 0, k):
-                kind = kinds.get(s[j:k])
-                if kind is None:
-                    continue
-                if (before := path[j]) is None:
-                    before = path[j] = states[s[:j]]
-                left = before[0]
-                if kind != 2 and not last:
-                    t = s[j:k]
-                    if not left or (pairs[left, t] if (left, t) in pairs else fits(left, t)):
-                        last, inner = t, before[1] + 1
-                if kind != 1 and not final:
-                    t = s[j:k] + end
-                    if not left or (pairs[left, t] if (left, t) in pairs else fits(left, t)):
-                        final = before[1] + 1
-                if last and final:
+        pairs, fits, bits, step, node = self.pairs.get, self.fits, self.bits, self.step, self.root
+        # by place the last token, shifted, the count of tokens, and the count where the word ends there
+        lasts, inners, finals = ([0], [0], [0]) if len(s) <= 64 else (array("q", [0]), array("q", [0]), array("q", [0]))
+        for k, c in enumerate(s, 1):
+            node = node[0].get(c) or step(node, c)
+            for size, t in node[2]:
+                if not (left := lasts[k - size]) or (fit := pairs(left | t)) or fit is None and fits(left | t):
                     break
-            need = need - 1 if need else lacks[s[k - 1]]
-            state = (last, inner, final, state[3], state[4], need) if need else (last, inner, final, state[3] + bytes([(final - state[4]) & 255]), final, 0)
-            path[k] = states[s[:k]] = state
-        return state[3]
-
-    def long_deltas(self, s: str) -> bytes:
-        """As above, of a word of any length: by place only the last token and the count, and one table that grows."""
-        kinds, end, longest, fits, lacks = self.kinds, self.end, self.longest, self.fits, self.lacks
-        lasts, inners, out, counted, need = [""], array("q", [0]), bytearray(), 0, 0
-        for k in range(1, len(s) + 1):
-            last, inner, final = "", 0, 0
-            need = need - 1 if need else lacks[s[k - 1]]
-            for j in range(max(0, k - longest), k):
-                kind = kinds.get(s[j:k])
-                if kind is None:
-                    continue
-                left = lasts[j]
-                if kind != 2 and not last and fits(left, s[j:k]):
-                    last, inner = sys.intern(s[j:k]), inners[j] + 1
-                if kind != 1 and not final and not need and fits(left, s[j:k] + end):
-                    final = inners[j] + 1
-                if last and (final or need):
+            finals.append(inners[k - size] + 1)
+            for size, t in node[1]:
+                if not (left := lasts[k - size]) or (fit := pairs(left | t)) or fit is None and fits(left | t):
                     break
-            lasts.append(last)
-            inners.append(inner)
-            if not need:
-                out.append((final - counted) & 255)
-                counted = final
-        return bytes(out)
+            inners.append(inners[k - size] + 1)
+            lasts.append(t << bits)
+        if len(s) > len(word):
+            finals = [0, *map(finals.__getitem__, accumulate(1 + (c > "\x7f") + (c > "\u07ff") + (c > "\uffff") for c in word))]
+        return bytes([b - a & 255 for a, b in pairwise(finals)])
 
     def chunk_deltas(self, chunk: str) -> bytes:
         """Of a part of a normalised text between two blanks; other white space may stand in it."""
-        if chunk.isalpha():
-            d = self.word_deltas(chunk)
-        else:
-            out, at = [], 0
-            for m in self.words.finditer(chunk):
-                out += [bytes(m.start() - at), self.split_deltas(m[0])]
-                at = m.end()
-            d = b"".join(out) + bytes(len(chunk) - at)
+        if (d := self.older_deltas.get(chunk)) is None:
+            if chunk.isalpha():
+                d = self.word_deltas(chunk)
+            else:
+                out, at, known, older = [], 0, self.deltas.get, self.older_deltas.get
+                for m in self.words.finditer(chunk):
+                    w = m[0]
+                    out += [bytes(m.start() - at), known(w) or older(w) or self.split_deltas(w)]
+                    at = m.end()
+                d = b"".join(out) + bytes(len(chunk) - at)
         if len(chunk) <= 64:
             self.held_bytes += 200 + 2 * len(chunk)
             self.deltas[chunk] = d

@@ -122,6 +122,18 @@ def test_tables_start_anew():
     assert [few.text_ids(t) for t in texts] == [many.text_ids(t) for t in texts]
 
 
+def test_frequent_words_stay():
+    """A word of every text is worked out once, however often rare ones fill the tables."""
+    r = np.random.default_rng(9)
+    w, asked = tokens.WordTokens(tokens.default_path()), collections.Counter()
+    work = w.word_deltas
+    w.word_deltas = lambda word: asked.update([word]) or work(word)
+    w.LIMIT = 200_000
+    for _ in range(400):
+        w.text_deltas("common " + " ".join("".join("etaoin"[k] for k in r.integers(0, 6, 12)) for _ in range(20)))
+    assert sum(asked.values()) > 8000 and asked["common"] == 1
+
+
 def test_fitting_prefix(spark):
     from tokenizers import Tokenizer
 
