@@ -26,7 +26,7 @@ import sys
 import unicodedata
 from array import array
 from collections.abc import Iterator
-from itertools import accumulate, pairwise
+from itertools import accumulate, islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -285,24 +285,33 @@ class IdTokens(Words):
         super().__init__(spec)
         end, vocab = spec["model"]["end_of_word_suffix"], spec["model"]["vocab"]
         self.library = Tokenizer.from_file(path)
+        self.library.normalizer = None  # it gets words of normalised texts
         self.ends = np.zeros(max([*vocab.values(), *self.special_ids.values()]) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith(end)]] = True
         self.ids: dict[str, bytes] = {"": b""}
         self.held_bytes = 0
 
     def make_ids(self, chunks: list[str]) -> list[bytes]:
-        """Ids of parts of a text between blanks: one call of the library (without offsets), cut after the tokens that end a word."""
-        ids = np.array(self.library.encode_batch_fast([" ".join(chunks)], add_special_tokens=False)[0].ids, "<u4")
-        ends = [0, *(np.flatnonzero(self.ends[ids]) * 4 + 4).tolist()]
-        raw, at, out, known = ids.tobytes(), 0, [], self.ids
-        for c in chunks:
-            was = at
-            at += 1 if c.isalpha() else len(self.words.findall(c))
-            out.append(raw[ends[was] : ends[at]])
-            if len(c) <= 64 and self.held_bytes < self.LIMIT:
-                known[c] = out[-1]
-                self.held_bytes += 200 + len(c) + len(out[-1])
-        return out
+        """Ids of parts of a text between blanks, from those of their words; the library gets each word that is not known once."""
+        known, find = self.ids, self.words.findall
+        parts = {c: [c] if c.isalpha() else find(c) for c in chunks}
+        own = dict.fromkeys([w for words in parts.values() for w in words if w not in known])
+        if own:  # one call (without offsets), cut after the tokens that end a word
+            ids = np.array(self.library.encode_batch_fast([" ".join(own)], add_special_tokens=False)[0].ids, "<u4")
+            ends = [0, *(np.flatnonzero(self.ends[ids]) * 4 + 4).tolist()]
+            raw = ids.tobytes()
+            own = {w: raw[i:j] for w, i, j in zip(own, ends, ends[1:])}
+        n_words = len(own)
+        for c, words in parts.items():
+            if c not in own:
+                own[c] = b"".join([known.get(w) or own[w] for w in words])
+        if self.held_bytes < self.LIMIT:
+            # parts of several words have one half of the table at most
+            for c in own if self.held_bytes < self.LIMIT // 2 else islice(own, n_words):
+                if len(c) <= 64:
+                    known[c] = own[c]
+                    self.held_bytes += 200 + len(c) + len(own[c])
+        return [own[c] for c in chunks]
 
     def text_ids(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers."""

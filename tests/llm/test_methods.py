@@ -134,6 +134,32 @@ def test_frequent_words_stay():
     assert sum(asked.values()) > 8000 and asked["common"] == 1
 
 
+def test_ids_of_words():
+    """Ids of texts that normalise to special strings or change when normalised again; the library gets a new word once."""
+    from tokenizers import Tokenizer
+
+    t, own = Tokenizer.from_file(tokens.default_path()), tokens.IdTokens(tokens.default_path())
+    tight = tokens.IdTokens(tokens.default_path())
+    tight.LIMIT = 500
+    for text in ("a <|ENDOFTEXT|> b", "<|StartOfText|>", "x<|endoftext|>y <|EndOfText|>", "\u038f\u0345 o\u038f\u0345", "don't 've 're. \t", "\u0130A\u03a3"):
+        want = np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert own.text_ids(text) == want and tight.text_ids(text) == want
+
+    class Library:
+        asked: list = []
+
+        def encode_batch_fast(self, texts, **kw):
+            self.asked += " ".join(texts).split()
+            return t.encode_batch_fast(texts, **kw)
+
+    own.library = Library()
+    text = "qzxv, (qzxv) qzxv. wvvk: qzxv"
+    assert own.text_ids(text) == np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    own.text_ids("wvvk; wvvk! qzxv?")
+    assert collections.Counter(Library.asked)["qzxv"] == collections.Counter(Library.asked)["wvvk"] == 1
+    assert not any("qzxv" in w and w != "qzxv" for w in Library.asked)
+
+
 def test_fitting_prefix(spark):
     from tokenizers import Tokenizer
 
