@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexiloom.functions.chunks import LARGE, OVERLAP, SMALL, chunk_markdown, chunk_rows
 from lexiloom.functions.html import parse_page
 from lexiloom.functions.text import content_hash, sanitize_html
+from lexiloom.sources.store import bounded_batches
 
 MOST_CHARS = 50_000_000
 
@@ -32,11 +33,13 @@ def changes(incoming: DataFrame, current: DataFrame) -> DataFrame:
 
 def parsed(pages: DataFrame) -> DataFrame:
     """page_id, url, content_hash, title, parsed_text (Markdown): one pass through a Python worker."""
+    bounded_batches(pages.sparkSession)
     return pages.withColumn("_p", parse_page(F.col("html"), F.col("url"))).select("page_id", "url", "content_hash", F.col("_p.title").alias("title"), F.col("_p.markdown").alias("parsed_text"))
 
 
 def chunked(parsed_pages: DataFrame, small: int = SMALL, large: int = LARGE, overlap: int = OVERLAP) -> DataFrame:
     """A row per large and small chunk of each page; see ``functions.chunks.chunk_rows``."""
+    bounded_batches(parsed_pages.sparkSession)
     return chunk_rows(parsed_pages.select("page_id", chunk_markdown(small, large, overlap)(F.col("parsed_text")).alias("chunks")))
 
 
