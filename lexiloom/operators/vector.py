@@ -7,6 +7,7 @@ keeps. A null is no vector: such rows are not searched, and such questions find
 from __future__ import annotations
 
 import time
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.functions.text import contextual_text
 from lexiloom.operators.lexical import top_k
-from lexiloom.sources.store import Versioned, staged
+from lexiloom.sources.store import Versioned, bounded_batches, staged
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -41,48 +42,89 @@ def unit_rows(ids: np.ndarray, lists: pa.Array) -> dict[int, tuple[np.ndarray, n
     return out
 
 
-class _Best:
-    """The best ``k`` vectors of each question so far: by score, then by the smaller id."""
+#: Rows of tops that a task may keep where all questions go to every task.
+KEPT_ROWS = 4_000_000
+
 
-    def __init__(self, questions: dict[int, tuple[np.ndarray, np.ndarray]], k: int, threshold: float):
-        self.questions, self.k, self.threshold = questions, k, threshold
-        self.held = {d: [(np.zeros(0, np.int64), np.zeros(0))] * len(ids) for d, (ids, _) in questions.items()}
+class _Best:
+    """The best ``k`` vectors of each question so far: by score, then by the smaller id. Products are made in tiles of about
+    ``cells`` numbers, and of a tile only what may belong to the best is kept, so memory does not grow with questions times
+    vectors."""
+
+    def __init__(self, questions: dict[int, tuple[np.ndarray, np.ndarray]], k: int, threshold: float, cells: int = 1 << 20):
+        self.questions, self.k, self.cells = questions, k, cells
+        self.ids = np.concatenate([ids for ids, _ in questions.values()]) if questions else np.zeros(0, np.int64)
+        # score and id of the last of a question's best, once there are k
+        self.least, self.last = np.full(len(self.ids), threshold, float), np.full(len(self.ids), np.iinfo(np.int64).max)
+        self.found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.n_found, self.full = 0, max(cells, 2 * k * len(self.ids))
 
     def add(self, ids: np.ndarray, lists: pa.Array) -> None:
-        vectors = unit_rows(ids, lists)
+        vectors, first = unit_rows(ids, lists), 0
         for d, (_, q) in self.questions.items():
-            vid = np.concatenate([v for v, _ in vectors.values()]) if vectors else np.zeros(0, np.int64)
+            if d in vectors:
+                self._add(first, q, *vectors[d])
             # vectors of another length than the question's have similarity 0
-            s = np.concatenate([q @ m.T if own == d else np.zeros((len(q), len(v))) for own, (v, m) in vectors.items()], axis=1) if vectors else np.zeros((len(q), 0))
-            s = np.round(s, 6) + 0.0
-            for i in range(len(q)):
-                had_id, had = self.held[d][i]
-                row_id, row = np.concatenate([had_id, vid]), np.concatenate([had, s[i]])
-                least = self.threshold if len(row) <= self.k else max(self.threshold, np.partition(row, len(row) - self.k)[len(row) - self.k])
-                fine = row >= least
-                row_id, row = row_id[fine], row[fine]
-                order = np.lexsort((row_id, -row))[: self.k]
-                self.held[d][i] = row_id[order], row[order]
-
-    def rows(self) -> pa.RecordBatch:
-        parts = [(np.full(len(v), q), v, s) for d, (ids, _) in self.questions.items() for q, (v, s) in zip(ids, self.held[d])]
-        cat = lambda i, t: pa.array(np.concatenate([p[i] for p in parts]) if parts else [], t)
-        return pa.RecordBatch.from_arrays([cat(0, pa.int64()), cat(1, pa.int64()), cat(2, pa.float64())], names=["query_id", "vec_id", "score"])
+            others = [v for own, (v, _) in vectors.items() if own != d]
+            if others:
+                v = np.sort(np.concatenate(others))[: self.k]
+                self._add(first, np.zeros((len(q), 0)), v, np.zeros((len(v), 0)))
+            first += len(q)
+
+    def _add(self, first: int, q: np.ndarray, v: np.ndarray, m: np.ndarray) -> None:
+        step, n = max(1, self.cells // max(1, len(v))), len(v)
+        for lo in range(0, len(q), step):
+            s = q[lo : lo + step] @ m.T
+            # scores are rounded to 6 digits below: a little less may still be as good
+            least = self.least[first + lo : first + lo + len(s)]
+            fine = s >= (least - 1.1e-6)[:, None]
+            if n > self.k and np.count_nonzero(fine) > 4 * self.k * len(s):
+                fine = s >= np.maximum(least, np.partition(s, n - self.k, axis=1)[:, n - self.k])[:, None] - 1.1e-6
+            i, j = np.nonzero(fine)
+            row, ids, score = i + (first + lo), v[j], np.round(s[i, j], 6) + 0.0
+            fine = (score > self.least[row]) | (score == self.least[row]) & (ids <= self.last[row])
+            if fine.any():
+                self.found.append((row[fine], ids[fine], score[fine]))
+                self.n_found += len(self.found[-1][0])
+                if self.n_found > self.full:
+                    self.cut()
+
+    def cut(self) -> None:
+        row, ids, score = (np.concatenate(x) for x in zip(*self.found))
+        order = np.lexsort((ids, -score, row))
+        row, ids, score = row[order], ids[order], score[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        last, kept = rank == self.k - 1, rank < self.k
+        self.least[row[last]], self.last[row[last]] = score[last], ids[last]
+        self.found, self.n_found = [(row[kept], ids[kept], score[kept])], int(kept.sum())
+
+    def rows(self, most: int = 50_000) -> Iterator[pa.RecordBatch]:
+        if self.found:
+            self.cut()
+            row, ids, score = self.found[0]
+            for i in range(0, len(row), most):
+                cut = slice(i, i + most)
+                yield pa.RecordBatch.from_arrays([pa.array(self.ids[row[cut]], pa.int64()), pa.array(ids[cut], pa.int64()), pa.array(score[cut], pa.float64())], schema=FOUND)
+
+
+FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
 
 def nearest(vectors: DataFrame, questions: DataFrame, k: int = 10, threshold: float = 0.0, sent_bytes: int = 64 << 20, chunk: int = 8192, block: int = 256) -> DataFrame:
     """query_id, vec_id, score, rank. ``vectors``: (vec_id, embedding); ``questions``: (query_id, embedding).
 
     Similarities below ``threshold`` (0 drops what points away) are left out. Questions of at most ``sent_bytes`` go to
-    every task, and vectors are read where they are; each task hands on ``k`` rows for each question. More questions are
-    dealt to blocks, and each pair of a block and a chunk of vectors meets in a task.
+    every task if their tops are of at most ``KEPT_ROWS`` rows, and vectors are read where they are; each task hands on
+    ``k`` rows for each question. More questions are dealt to blocks, and each pair of a block and a chunk of vectors meets
+    in a task.
     """
+    bounded_batches(vectors.sparkSession)
     x = lambda c: c.cast("array<double>").alias("x")
     asked = questions.select(F.col("query_id").cast("long").alias("id"), x(F.col("embedding"))).filter("x is not null")
     held = vectors.select(F.col("vec_id").cast("long").alias("id"), x(F.col("embedding"))).filter("x is not null")
     m, size = asked.agg(F.count("*"), F.coalesce(F.sum(F.size("x") * 8 + 64), F.lit(0))).first()
     schema = "query_id long, vec_id long, score double"
-    if size <= sent_bytes:
+    if size <= sent_bytes and m * k <= KEPT_ROWS:
         rows = asked.toArrow()
         q = unit_rows(rows.column("id").to_numpy(), rows.column("x").combine_chunks())
         sent = vectors.sparkSession.sparkContext.broadcast(q)
@@ -91,7 +133,7 @@ def nearest(vectors: DataFrame, questions: DataFrame, k: int = 10, threshold: fl
             best = _Best(sent.value, k, threshold)
             for b in batches:
                 best.add(b.column(0).to_numpy(zero_copy_only=False), b.column(1))
-            yield best.rows()
+            yield from best.rows()
 
         return top_k(held.mapInArrow(scan, schema), ["query_id"], k, "vec_id")
     n = held.count()
@@ -104,7 +146,7 @@ def nearest(vectors: DataFrame, questions: DataFrame, k: int = 10, threshold: fl
         best = _Best(unit_rows(right.column("id").to_numpy(), right.column("x").combine_chunks()) if right.num_rows else {}, k, threshold)
         if left.num_rows:
             best.add(left.column("id").to_numpy(), left.column("x").combine_chunks())
-        return pa.Table.from_batches([best.rows()])
+        return pa.Table.from_batches(list(best.rows()), FOUND)
 
     part = v.groupBy("c", "b").cogroup(q.groupBy("c", "b")).applyInArrow(meet, schema)
     return top_k(part, ["query_id"], k, "vec_id")
